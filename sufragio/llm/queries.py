@@ -5,17 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sufragio.llm import canonical
 from sufragio.llm.topn import top_n
 from sufragio.session import table
 
 
+def typed_places(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "analytics").filter(F.col("CD_MUNICIPIO").isNull()).select("row_id", "SG_UF", "NM_UE", "NM_MUNICIPIO")
+    return canonical.match(rows, "SG_UF", ["NM_UE", "NM_MUNICIPIO"], table(spark, folder, "municipios_ref"), "CD_MUNICIPIO", "SG_UF", "NM_MUNICIPIO")
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return typed_places(spark, folder).select("row_id", F.coalesce("__entry", F.lit("0")).alias("cd_municipio"))
+
+
+def p5_unmatched(spark: SparkSession, folder: str) -> DataFrame:
+    """The typed values that mean no entry, with their rows."""
+    none = typed_places(spark, folder).filter(F.col("__entry").isNull())
+    return none.groupBy(F.upper(F.trim("SG_UF")).alias("sg_uf"), F.trim("NM_UE").alias("nm_ue"), F.trim("NM_MUNICIPIO").alias("nm_municipio")).agg(F.count(F.lit(1)).alias("linhas"))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "analytics")
     groups = {"ano_eleicao": F.col("ANO_ELEICAO"), "sg_uf": F.upper(F.trim("SG_UF")), "ds_cargo": F.upper(F.trim("DS_CARGO"))}
     return top_n(rows, groups, "QT_VOTOS_NOMINAIS_VALIDOS", [F.col("row_id").asc()], 5, ["row_id"])
 
 
-QUERIES = {"p6_found": p6_found}
+QUERIES = {"p5_found": p5_found, "p5_unmatched": p5_unmatched, "p6_found": p6_found}
 ORACLE = {
     "p6_found": """SELECT * FROM (SELECT ANO_ELEICAO AS ano_eleicao, upper(trim(SG_UF)) AS sg_uf, upper(trim(DS_CARGO)) AS ds_cargo,
   row_number() OVER (PARTITION BY ANO_ELEICAO, upper(trim(SG_UF)), upper(trim(DS_CARGO)) ORDER BY QT_VOTOS_NOMINAIS_VALIDOS DESC, row_id)::INT AS posicao, row_id
