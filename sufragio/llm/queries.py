@@ -5,11 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sufragio.llm import canonical
+from sufragio.llm import canonical, encoding
 from sufragio.llm.topn import top_n
 from sufragio.session import table
 
 
+def damaged_text(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "analytics").select("row_id", "SG_UF", "NM_CANDIDATO", "NM_URNA_CANDIDATO", "NM_UE")
+    return encoding.find(rows, "SG_UF", ["NM_CANDIDATO", "NM_URNA_CANDIDATO", "NM_UE"], "row_id")
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return damaged_text(spark, folder).select("row_id", F.col("field").alias("campo"))
+
+
+def p2_repaired(spark: SparkSession, folder: str) -> DataFrame:
+    return damaged_text(spark, folder).select("row_id", F.col("field").alias("campo"), "value", "restored", "chain", F.round("confidence", 6).alias("confidence"))
+
+
 def typed_places(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "analytics").filter(F.col("CD_MUNICIPIO").isNull()).select("row_id", "SG_UF", "NM_UE", "NM_MUNICIPIO")
     return canonical.match(rows, "SG_UF", ["NM_UE", "NM_MUNICIPIO"], table(spark, folder, "municipios_ref"), "CD_MUNICIPIO", "SG_UF", "NM_MUNICIPIO")
@@ -31,7 +44,7 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return top_n(rows, groups, "QT_VOTOS_NOMINAIS_VALIDOS", [F.col("row_id").asc()], 5, ["row_id"])
 
 
-QUERIES = {"p5_found": p5_found, "p5_unmatched": p5_unmatched, "p6_found": p6_found}
+QUERIES = {"p2_found": p2_found, "p2_repaired": p2_repaired, "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p6_found": p6_found}
 ORACLE = {
     "p6_found": """SELECT * FROM (SELECT ANO_ELEICAO AS ano_eleicao, upper(trim(SG_UF)) AS sg_uf, upper(trim(DS_CARGO)) AS ds_cargo,
   row_number() OVER (PARTITION BY ANO_ELEICAO, upper(trim(SG_UF)), upper(trim(DS_CARGO)) ORDER BY QT_VOTOS_NOMINAIS_VALIDOS DESC, row_id)::INT AS posicao, row_id
