@@ -5,11 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sufragio.llm import canonical, encoding
+from sufragio.llm import canonical, encoding, linkage
 from sufragio.llm.topn import top_n
 from sufragio.session import table
 
 
+def same_persons(spark: SparkSession, folder: str) -> DataFrame:
+    old = table(spark, folder, "cadastro_legado")
+    new = table(spark, folder, "consulta_cand").withColumn("sq_candidato", F.col("SQ_CANDIDATO").try_cast("bigint"))
+    new = new.select("sq_candidato", "NM_CANDIDATO", "DT_NASCIMENTO", "NR_CPF_CANDIDATO")
+    return linkage.link(old, new, "id_legado", "sq_candidato", "NM_CANDIDATO", "DT_NASCIMENTO", "NR_CPF_CANDIDATO")
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return same_persons(spark, folder).select("id_legado", "sq_candidato")
+
+
+def p1_confidence(spark: SparkSession, folder: str) -> DataFrame:
+    return same_persons(spark, folder).select("id_legado", "sq_candidato", F.round("confidence", 6).alias("confidence"))
+
+
 def damaged_text(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "analytics").select("row_id", "SG_UF", "NM_CANDIDATO", "NM_URNA_CANDIDATO", "NM_UE")
     return encoding.find(rows, "SG_UF", ["NM_CANDIDATO", "NM_URNA_CANDIDATO", "NM_UE"], "row_id")
@@ -44,7 +59,7 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return top_n(rows, groups, "QT_VOTOS_NOMINAIS_VALIDOS", [F.col("row_id").asc()], 5, ["row_id"])
 
 
-QUERIES = {"p2_found": p2_found, "p2_repaired": p2_repaired, "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p6_found": p6_found}
+QUERIES = {"p1_found": p1_found, "p1_confidence": p1_confidence, "p2_found": p2_found, "p2_repaired": p2_repaired, "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p6_found": p6_found}
 ORACLE = {
     "p6_found": """SELECT * FROM (SELECT ANO_ELEICAO AS ano_eleicao, upper(trim(SG_UF)) AS sg_uf, upper(trim(DS_CARGO)) AS ds_cargo,
   row_number() OVER (PARTITION BY ANO_ELEICAO, upper(trim(SG_UF)), upper(trim(DS_CARGO)) ORDER BY QT_VOTOS_NOMINAIS_VALIDOS DESC, row_id)::INT AS posicao, row_id
