@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sufragio.llm import canonical, encoding, linkage
+from sufragio.llm import canonical, encoding, linkage, reading
 from sufragio.llm.topn import top_n
 from sufragio.session import table
 
@@ -59,7 +59,32 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return top_n(rows, groups, "QT_VOTOS_NOMINAIS_VALIDOS", [F.col("row_id").asc()], 5, ["row_id"])
 
 
-QUERIES = {"p1_found": p1_found, "p1_confidence": p1_confidence, "p2_found": p2_found, "p2_repaired": p2_repaired, "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p6_found": p6_found}
+def reading_levels(spark: SparkSession, folder: str) -> DataFrame:
+    return reading.assess(table(spark, folder, "documents"), table(spark, folder, "rotulos_leitura"), "doc_id", "text", "nivel")
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return reading_levels(spark, folder).filter((F.col("nivel") == 4) & (F.col("palavras") >= 20)).select("doc_id")
+
+
+def p9_levels(spark: SparkSession, folder: str) -> DataFrame:
+    return reading_levels(spark, folder).select("doc_id", "nivel", F.round("esperado", 6).alias("esperado"))
+
+
+def p9_profile(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents, words and mean expected level by source and level."""
+    of = table(spark, folder, "documents").select("doc_id", F.coalesce(F.lower(F.trim("source")), F.lit("n/a")).alias("fonte"))
+    rows = reading_levels(spark, folder).join(of.dropDuplicates(["doc_id"]), "doc_id")
+    return rows.groupBy("fonte", "nivel").agg(F.count(F.lit(1)).alias("documentos"), F.sum("palavras").alias("palavras"), F.round(F.avg("esperado"), 6).alias("esperado"))
+
+
+def p9_hardest(spark: SparkSession, folder: str) -> DataFrame:
+    """The 100 most demanding texts of at least 20 words: the limit is the report."""
+    rows = reading_levels(spark, folder).filter("palavras >= 20")
+    return rows.orderBy(F.col("esperado").desc_nulls_last(), "doc_id").limit(100).select("doc_id", "nivel", F.round("esperado", 6).alias("esperado"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_confidence": p1_confidence, "p2_found": p2_found, "p2_repaired": p2_repaired, "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p6_found": p6_found, "p9_found": p9_found, "p9_levels": p9_levels, "p9_profile": p9_profile, "p9_hardest": p9_hardest}
 ORACLE = {
     "p6_found": """SELECT * FROM (SELECT ANO_ELEICAO AS ano_eleicao, upper(trim(SG_UF)) AS sg_uf, upper(trim(DS_CARGO)) AS ds_cargo,
   row_number() OVER (PARTITION BY ANO_ELEICAO, upper(trim(SG_UF)), upper(trim(DS_CARGO)) ORDER BY QT_VOTOS_NOMINAIS_VALIDOS DESC, row_id)::INT AS posicao, row_id
