@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sufragio.llm import canonical, encoding, linkage, reading
+from sufragio.llm import canonical, encoding, linkage, mixing, packing, reading, tokens
 from sufragio.llm.topn import top_n
 from sufragio.session import table
 
@@ -59,6 +59,34 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return top_n(rows, groups, "QT_VOTOS_NOMINAIS_VALIDOS", [F.col("row_id").asc()], 5, ["row_id"])
 
 
+CAPACITY = 2048  # tokens of a container
+
+
+def packed_documents(spark: SparkSession, folder: str) -> DataFrame:
+    items = tokens.sizes(table(spark, folder, "documents"), "doc_id", "text")
+    return packing.pack(items, "doc_id", "tokens", CAPACITY)
+
+
+def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
+    return packed_documents(spark, folder)
+
+
+def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.fills(packed_documents(spark, folder), "doc_id", CAPACITY)
+
+
+def _mixture(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "fontes_alvo"), "doc_id", "text", "source")
+
+
+def p8_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    return _mixture(spark, folder)[0]
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return _mixture(spark, folder)[1]
+
+
 def reading_levels(spark: SparkSession, folder: str) -> DataFrame:
     return reading.assess(table(spark, folder, "documents"), table(spark, folder, "rotulos_leitura"), "doc_id", "text", "nivel")
 
@@ -84,7 +112,7 @@ def p9_hardest(spark: SparkSession, folder: str) -> DataFrame:
     return rows.orderBy(F.col("esperado").desc_nulls_last(), "doc_id").limit(100).select("doc_id", "nivel", F.round("esperado", 6).alias("esperado"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_confidence": p1_confidence, "p2_found": p2_found, "p2_repaired": p2_repaired, "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p6_found": p6_found, "p9_found": p9_found, "p9_levels": p9_levels, "p9_profile": p9_profile, "p9_hardest": p9_hardest}
+QUERIES = {"p1_found": p1_found, "p1_confidence": p1_confidence, "p2_found": p2_found, "p2_repaired": p2_repaired, "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p6_found": p6_found, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_levels": p9_levels, "p9_profile": p9_profile, "p9_hardest": p9_hardest}
 ORACLE = {
     "p6_found": """SELECT * FROM (SELECT ANO_ELEICAO AS ano_eleicao, upper(trim(SG_UF)) AS sg_uf, upper(trim(DS_CARGO)) AS ds_cargo,
   row_number() OVER (PARTITION BY ANO_ELEICAO, upper(trim(SG_UF)), upper(trim(DS_CARGO)) ORDER BY QT_VOTOS_NOMINAIS_VALIDOS DESC, row_id)::INT AS posicao, row_id
