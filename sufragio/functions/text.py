@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 ACCENTED = "ÁÀÂÃÄÅÇÉÈÊËÍÌÎÏÑÓÒÔÕÖÚÙÛÜÝáàâãäåçéèêëíìîïñóòôõöúùûüýÿ"
 PLAIN = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"
 #: Blanks at either end, as Python's strip has them, with no-break blanks and marks without width.
-OUTER_BLANKS = "^[\\s\\u00a0\\u2000-\\u200d\\u2060\\ufeff]+|[\\s\\u00a0\\u2000-\\u200d\\u2060\\ufeff]+$"
+BLANKS = " \t\n\x0b\f\r\u00a0\u2060\ufeff" + "".join(map(chr, range(0x2000, 0x200E)))
 
 
 def col(c: Column | str) -> Column:
@@ -17,8 +17,8 @@ def col(c: Column | str) -> Column:
 
 
 def strip(c: Column | str) -> Column:
-    """Without outer white space of any kind."""
-    return F.regexp_replace(col(c), OUTER_BLANKS, "")
+    """Without outer white space of any kind; a native trim, as a pattern costs many times more."""
+    return F.trim(col(c), F.lit(BLANKS))
 
 
 def text(c: Column | str) -> Column:
@@ -38,7 +38,8 @@ def or_na(c: Column | str) -> Column:
 
 def fold(c: Column | str) -> Column:
     """Without accents and other characters outside ASCII, outer blanks removed."""
-    return F.trim(F.regexp_replace(F.translate(text(c), ACCENTED, PLAIN), "[^\\x00-\\x7F]", ""))
+    plain = F.translate(text(c), ACCENTED, PLAIN)
+    return F.trim(F.when(F.octet_length(plain) == F.length(plain), plain).otherwise(F.regexp_replace(plain, "[^\\x00-\\x7F]", "")))
 
 
 def fold_upper(c: Column | str) -> Column:

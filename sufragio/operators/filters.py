@@ -73,6 +73,8 @@ def is_candidate(candidate: str, cpf: str | None = None) -> Column:
     if own:
         return F.col("cpf") == own
     key = candidate.strip()
-    out = (F.coalesce("source_id", F.lit("")) == key) | (F.coalesce("number", F.lit("")) == key) | (F.col("name_key") == folded(key))
+    # a key of digits alone is compared with the name as it stands: folding every name costs more
+    named = F.coalesce(F.col("name"), F.lit("")) == key if key.isdigit() else F.col("name_key") == folded(key)
+    out = (F.coalesce("source_id", F.lit("")) == key) | (F.coalesce("number", F.lit("")) == key) | named
     only = re.sub(r"\D", "", key)
     return out | (F.col("cpf") == only) if only else out

@@ -84,7 +84,7 @@ def race_comparison(fact: Fact, scope: Scope) -> DataFrame:
     """Rows and elected rows per race in fixed order, with the share of each in its total."""
     df = scope.apply(fact).df.withColumn("categoria", labels.race(F.col("race"))).filter(F.col("categoria") != labels.RACE_UNKNOWN)
     counts = df.groupBy("categoria").agg(F.count(F.lit(1)).alias("candidatos"), F.count_if(F.col("elected")).alias("eleitos"))
-    every = fact.df.sparkSession.createDataFrame([(i, r) for i, r in enumerate(labels.RACES)], "ordem int, categoria string")
+    every = fact.df.sparkSession.range(1).select(F.posexplode(F.array(*[F.lit(r) for r in labels.RACES])).alias("ordem", "categoria"))
     full = every.join(counts, "categoria", "left").fillna(0, ["candidatos", "eleitos"])
     return with_share(with_share(full, "candidatos", "parte_candidatos"), "eleitos", "parte_eleitos")
 

@@ -11,6 +11,7 @@ from sufragio.functions import labels
 from sufragio.operators.fact import Fact
 from sufragio.operators.filters import Scope, folded, is_candidate
 from sufragio.operators.relational import latest_round, page, person_id, round_breakdown, usual, with_share
+from sufragio.session import materialize, measured
 
 LEVELS = ("macroregiao", "uf", "municipio", "zona")
 
@@ -32,17 +33,20 @@ def search(fact: Fact, query: str, scope: Scope, number: int = 1, size: int = 20
     return page(out, [F.desc("votos"), F.desc("pontos"), *[F.asc_nulls_first(a) for a in ("candidato", "candidato_id", "partido", "cargo", "uf", "numero", "situacao")]], number, size)
 
 
-def vote_totals(df: DataFrame) -> DataFrame:
-    return df.filter(F.col("candidate").isNotNull()).groupBy("candidate").agg(F.sum("votes").alias("votos"))
+def standing(context: DataFrame, key: str | None) -> tuple[int, int | None]:
+    """All votes of a contest, and the place of the candidate `key` by votes (ties by key): one
+    more than the number of those before it, so no window spans all candidates."""
+    totals = materialize(context.groupBy("candidate").agg(F.sum("votes").alias("votos")), "contest")
+    got = totals.agg(F.sum("votos").alias("all"), F.max(F.when(F.col("candidate") == F.lit(key), F.col("votos"))).alias("own")).first()
+    if got["own"] is None:
+        return got["all"] or 0, None
+    ahead = (F.col("votos") > got["own"]) | ((F.col("votos") == got["own"]) & (F.col("candidate") < key))
+    return got["all"], totals.filter(F.col("candidate").isNotNull() & ahead).count() + 1
 
 
-def position(df: DataFrame, key):
-    """Place by votes (ties by key) of the candidate whose key is the scalar `key`: one more than
-    the number of those before it, so no window spans all candidates."""
-    totals = vote_totals(df)
-    own = totals.filter(F.col("candidate") == key).agg(F.max("votos")).scalar()
-    ahead = (F.col("votos") > own) | ((F.col("votos") == own) & (F.col("candidate") < key))
-    return F.when(own.isNotNull(), totals.filter(ahead).agg(F.count(F.lit(1))).scalar() + 1)
+def first(column: str):
+    """The column's value in the first row that has one."""
+    return F.min(F.when(F.col(column).isNotNull(), F.struct("row", column)))[column].alias(column)
 
 
 def identity(df: DataFrame) -> DataFrame:
@@ -55,28 +59,25 @@ def identity(df: DataFrame) -> DataFrame:
 
 def summary(fact: Fact, candidate: str, scope: Scope) -> DataFrame:
     """One row about a candidate's last year in scope (no row if unknown): votes by round, votes
-    and share of the reference round, position in it, mandates and attributes."""
-    rows = Scope(year=scope.year, state=scope.state, office=scope.office).apply(fact).df.filter(is_candidate(candidate))
-    year = rows.agg(F.max("year")).scalar()
-    last = rows.filter(F.col("year") == year)
-    facts = last.agg(*round_breakdown(), F.max("year").alias("ano"))
-    asked = scope.round if scope.round in (1, 2) else None
-    facts = facts.withColumn("turno_referencia", F.lit(asked) if asked else F.col("turno_referencia"))
-    ref = F.lit(asked) if asked else last.agg(F.max(F.when(F.col("round") > 0, F.col("round")))).scalar()
-    official = last.filter(F.col("round") == ref)
-    first = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct("row", c)))[c].alias(c)
-    seen = official.agg(F.sum("votes").alias("v"), first("state"), first("office"), first("status"), first("candidate"))
-    whole = rows.agg(F.count_distinct(F.when(F.col("elected"), F.col("year"))).alias("mandatos"), first("name"), first("number"), first("party"), F.min("office_key").alias("k"))
-    key = lambda c: official.agg(F.min(F.when(F.col(c).isNotNull(), F.struct("row", c)))[c]).scalar()
-    context = fact.df.filter((F.col("year") == year) & (F.col("round") == ref) & (F.col("state") == key("state")) & (F.lower("office") == F.lower(key("office"))))
-    total = context.agg(F.sum("votes")).scalar()
-    place = position(context, key("candidate"))
-    base = facts.filter(F.col("ano").isNotNull()).withColumn("one", F.lit(1))
-    out = base.join(seen.withColumn("one", F.lit(1)), "one").join(whole.withColumn("one", F.lit(1)), "one").join(identity(rows).withColumn("one", F.lit(1)), "one")
+    and share of the reference round, position in it, mandates and attributes. The candidate's
+    rows, a small table, are written once; the contest is one more scan."""
+    rows = materialize(Scope(year=scope.year, state=scope.state, office=scope.office).apply(fact).df.filter(is_candidate(candidate)), "candidate")
+    last = rows.filter(F.col("year") == rows.agg(F.max("year")).first()[0])
+    facts = last.agg(*round_breakdown(), F.max("year").alias("ano")).first()
+    ref = scope.round if scope.round in (1, 2) else facts["turno_referencia"]
+    official = last.filter(F.col("round") == F.lit(ref))
+    seen = official.agg(F.sum("votes").alias("votos"), first("state"), first("office"), first("status"), first("candidate")).first()
+    context = fact.df.filter((F.col("year") == F.lit(facts["ano"])) & (F.col("round") == F.lit(ref)) & (F.col("state") == F.lit(seen["state"])) & (F.lower("office") == F.lower(F.lit(seen["office"]))))
+    total, place = standing(context, seen["candidate"])
+    whole = rows.agg(F.count_distinct(F.when(F.col("elected"), F.col("year"))).alias("mandatos"), first("name"), first("number"), first("party"), F.max("year").alias("__y"))
+    out = whole.filter(F.col("__y").isNotNull()).withColumn("one", F.lit(1)).join(identity(rows).withColumn("one", F.lit(1)), "one")
+    given = {k: F.lit(facts[k]).cast("bigint" if k.startswith("votos") else "int").alias(k) for k in ("ano", "votos_primeiro_turno", "votos_segundo_turno", "votos_consolidados")}
+    votes = F.lit(seen["votos"] or 0).cast("bigint")
     return out.select(
-        F.lit(candidate).alias("candidato_id"), F.col("name").alias("nome"), F.col("number").alias("numero"), F.col("party").alias("partido"), F.col("office").alias("cargo"), F.col("state").alias("uf"),
-        F.col("status").alias("situacao"), "mandatos", "ano", "turno_referencia", "votos_primeiro_turno", "votos_segundo_turno", "votos_consolidados", F.coalesce("v", F.lit(0)).alias("votos"),
-        labels.percent(F.col("v"), total, 4).alias("percentual"), place.alias("posicao"), "person_id", "nr_cpf",
+        F.lit(candidate).alias("candidato_id"), F.col("name").alias("nome"), F.col("number").alias("numero"), F.col("party").alias("partido"), F.lit(seen["office"]).cast("string").alias("cargo"),
+        F.lit(seen["state"]).cast("string").alias("uf"), F.lit(seen["status"]).cast("string").alias("situacao"), "mandatos", given["ano"], F.lit(ref).cast("int").alias("turno_referencia"),
+        given["votos_primeiro_turno"], given["votos_segundo_turno"], given["votos_consolidados"], votes.alias("votos"), labels.percent(votes, F.lit(total), 4).alias("percentual"),
+        F.lit(place).cast("bigint").alias("posicao"), "person_id", "nr_cpf",
     )
 
 
@@ -92,24 +93,29 @@ def contexts(df: DataFrame) -> DataFrame:
 CONTEXT = ["year", "office_key", "round", "in_state", "in_place"]
 
 
+def usual_signature(seed: DataFrame) -> str | None:
+    got = usual(seed.withColumn("all", F.lit(1)), ["all"], "signature", "sig").select("sig").first()
+    return got[0] if got else None
+
+
 def persons_rows(fact: Fact, candidate: str, cpf: str | None = None, state: str | None = None, office: str | None = None) -> DataFrame:
-    """All rows of the person behind a candidate: rows whose signature is one of the seed's usual
-    one, else the seed itself. The signature is one value, found by a small aggregate."""
-    seed = Scope(state=state, office=office).apply(fact).df.filter(is_candidate(candidate, cpf))
-    sig = usual(seed.withColumn("all", F.lit(1)), ["all"], "signature", "sig").select("sig").scalar()
-    return fact.df.filter(F.col("signature") == sig)
+    """All rows of the person behind a candidate: those with the usual signature of its rows in
+    scope, written once as the small table they are."""
+    sig = usual_signature(Scope(state=state, office=office).apply(fact).df.filter(is_candidate(candidate, cpf)))
+    return materialize(fact.df.filter(F.col("signature") == F.lit(sig)), "person")
 
 
 def vote_history(fact: Fact, candidate: str, cpf: str | None = None, state: str | None = None, office: str | None = None) -> DataFrame:
     """One row per year, newest first: the later round, then the contest with more votes."""
     rows = contexts(persons_rows(fact, candidate, cpf, state, office)).filter(F.col("year").isNotNull() & F.col("office_key").isNotNull())
-    first = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct("row", c)))[c]
     own = rows.groupBy(*CONTEXT).agg(
-        F.sum("votes").alias("votos"), first("state").alias("uf"), first("place").alias("municipio"), first("party").alias("partido"), first("number").alias("numero"), first("source_id").alias("source_id"),
+        F.sum("votes").alias("votos"), first("state").alias("uf"), first("place").alias("municipio"), first("party").alias("partido"), first("number").alias("numero"), first("source_id"),
         F.when(F.max("elected"), "ELEITO").otherwise(first("status")).alias("situacao"),
     )
-    # only the person's own contests are summed up: their few keys prune the fact table
-    totals = contexts(fact.df).join(F.broadcast(own.select(*CONTEXT)), CONTEXT, "left_semi").groupBy(*CONTEXT).agg(F.sum("votes").alias("total"))
+    own = materialize(own, "contests")
+    # only the person's own contests are summed up; they are broadcast if they are as few as usual
+    few, _ = measured(own.select(*CONTEXT))
+    totals = contexts(fact.df).join(few, CONTEXT, "left_semi").groupBy(*CONTEXT).agg(F.sum("votes").alias("total"))
     out = own.join(totals, CONTEXT, "left")
     w = Window.partitionBy("year").orderBy(F.desc("round"), F.desc("votos"), "office_key", "in_state", "in_place")
     out = out.withColumn("n", F.row_number().over(w)).filter("n = 1")
@@ -170,33 +176,33 @@ def compare(fact: Fact, candidates: Sequence[str], scope: Scope) -> DataFrame:
     if not 2 <= len(candidates) <= 4:
         raise ValueError("two to four candidates can be compared")
     inside = Scope(state=scope.state, office=scope.office).apply(fact)
-    year = F.lit(scope.year) if scope.year is not None else inside.df.agg(F.max("year")).scalar()
-    context = inside.df.filter(F.col("year") == year)
-    total = context.agg(F.sum("votes")).scalar()
-    out = None
+    year = scope.year if scope.year is not None else inside.df.agg(F.max("year")).first()[0]
+    any_of = is_candidate(candidates[0])
+    for c in candidates[1:]:
+        any_of = any_of | is_candidate(c)
+    rows = materialize(inside.df.filter(any_of), "compared")
+    context = materialize(inside.df.filter(F.col("year") == F.lit(year)).select("candidate", "votes"), "contest")
+    out = []
     for c in candidates:
-        rows = context.filter(is_candidate(c))
-        first = lambda x: F.min(F.when(F.col(x).isNotNull(), F.struct("row", x)))[x]  # noqa: B023, E731
-        one = rows.agg(F.sum("votes").alias("votos"), first("name").alias("nome"), first("party").alias("partido"), first("candidate").alias("candidate"), F.count(F.lit(1)).alias("n")).filter("n > 0")
-        place = position(context, rows.agg(first("candidate")).scalar())
-        one = one.select(F.lit(c).alias("candidato_id"), "nome", "partido", "votos", labels.percent(F.col("votos"), total, 4).alias("percentual"), place.alias("posicao"), retention(inside, c, year).alias("retencao"))
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-def retention(fact: Fact, candidate: str, year):
-    """100 x votes of the year's first contest over those of the oldest earlier one, 100 if there
-    is none; contests are ordered by year, round (both falling), office, votes (falling)."""
-    rows = persons_rows(fact, candidate).filter(F.col("year").isNotNull())
-    groups = rows.groupBy("year", F.coalesce("office_key", F.lit("")).alias("office"), "round").agg(F.sum("votes").alias("v"))
-    at = groups.filter(F.col("year") == year)
-    now = at.agg(F.min(F.struct((-F.col("round")).alias("r"), "office", (-F.col("v")).alias("v")))["v"]).scalar()
-    old = groups.filter(F.col("year") < year)
-    first_year = old.agg(F.min("year")).scalar()
-    low = old.filter(F.col("year") == first_year)
-    low_round = low.agg(F.min("round")).scalar()
-    base = low.filter(F.col("round") == low_round).agg(F.max(F.struct("office", (-F.col("v")).alias("v")))["v"]).scalar()
-    return F.when(F.coalesce(-base, F.lit(0)) > 0, labels.percent(-now, -base, 4)).otherwise(100.0)
+        got = rows.filter((F.col("year") == F.lit(year)) & is_candidate(c)).agg(F.sum("votes").alias("v"), first("name"), first("party"), first("candidate")).first()
+        if got["v"] is not None:
+            total, place = standing(context, got["candidate"])
+            sig = usual_signature(rows.filter(is_candidate(c)))
+            out.append((c, got["name"], got["party"], got["v"], total, place, *retention(inside.df.filter(F.col("signature") == F.lit(sig)), year)))
+    shape = "candidato_id string, nome string, partido string, votos bigint, total bigint, posicao bigint, agora bigint, antes bigint"
+    few = fact.df.sparkSession.createDataFrame(out, shape)  # at most four rows
+    kept = F.when(F.coalesce("antes", F.lit(0)) > 0, labels.percent(F.col("agora"), F.col("antes"), 4)).otherwise(100.0)
+    return few.select("candidato_id", "nome", "partido", "votos", labels.percent(F.col("votos"), F.col("total"), 4).alias("percentual"), "posicao", kept.alias("retencao"))
+
+
+def retention(rows: DataFrame, year: int | None) -> tuple[int | None, int | None]:
+    """Votes of the year's first contest and of the oldest earlier one, where contests are ordered
+    by year and round (both falling), office, and votes (falling)."""
+    groups = rows.filter(F.col("year").isNotNull()).groupBy("year", F.coalesce("office_key", F.lit("")).alias("office"), "round").agg(F.sum("votes").alias("v"))
+    groups = materialize(groups, "own-contests")
+    now = groups.filter(F.col("year") == F.lit(year)).orderBy(F.desc("round"), "office", F.desc("v")).select("v").first()
+    base = groups.filter(F.col("year") < F.lit(year)).orderBy("year", "round", F.desc("office"), "v").select("v").first()
+    return now[0] if now else None, base[0] if base else None
 
 
 def deltas(compared: DataFrame) -> DataFrame:

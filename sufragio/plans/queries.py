@@ -1,5 +1,5 @@
 """The registered queries over the analytics table, each with its SQL. The candidate queries take
-as candidates the smallest keys of an office, a rule that both sides evaluate on any data."""
+the smallest keys of an office's latest year, a rule that both sides evaluate on any data."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sufragio.functions import labels
 from sufragio.functions.text import ACCENTED, PLAIN
+from sufragio.operators import etl
 from sufragio.operators.fact import Fact, bind
 from sufragio.operators.filters import Scope
 from sufragio.operators.relational import METRICS, person_id
@@ -23,7 +24,8 @@ def fact(spark: SparkSession, folder: str) -> Fact:
 
 
 def first_candidates(f: Fact, office: str, n: int) -> list[str]:
-    rows = f.df.filter((F.col("office_key") == office) & F.col("source_id").isNotNull()).select("source_id").distinct().orderBy("source_id").limit(n).collect()
+    rows = f.df.filter((F.col("office_key") == office) & F.col("source_id").isNotNull()).groupBy("source_id").agg(F.max("year").alias("y"))
+    rows = rows.orderBy(F.desc_nulls_last("y"), "source_id").limit(n).collect()
     return [r[0] for r in rows] or ["0"]
 
 
@@ -132,7 +134,7 @@ p AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY candidate, year, r
 
 
 def _id(office: str, k: int) -> str:
-    return f"coalesce((SELECT DISTINCT source_id FROM f WHERE office_key = '{office}' AND source_id IS NOT NULL ORDER BY source_id LIMIT 1 OFFSET {k}), '-')"
+    return f"coalesce((SELECT source_id FROM f WHERE office_key = '{office}' AND source_id IS NOT NULL GROUP BY source_id ORDER BY max(year) DESC NULLS LAST, source_id LIMIT 1 OFFSET {k}), '-')"
 
 
 def _is(c: str) -> str:
@@ -332,3 +334,58 @@ _add(
     "person_id_sha1", _q(lambda f: f.df.groupBy("state").agg(F.count_distinct(person_id(F.col("signature"))).alias("pessoas"), F.min(person_id(F.col("signature"))).alias("primeira"))),
     BASE + "SELECT state, count(DISTINCT sha1(signature)) AS pessoas, min('person:' || sha1(signature)) AS primeira FROM f GROUP BY state",
 )
+
+
+def _etl(build):
+    return lambda spark, folder: build(table(spark, folder, "analytics"), spark, folder)
+
+
+def _rolled(df: DataFrame) -> DataFrame:
+    keys = ["ANO_ELEICAO", "NR_TURNO", "SG_UF", "NM_UE", "DS_CARGO", "SQ_CANDIDATO", etl.VOTES]
+    return etl.rollup(df.select(*keys))
+
+
+def _repeats(df: DataFrame) -> DataFrame:
+    kept = df.drop("row_id", "dt_carga").distinct()
+    return kept.groupBy("ANO_ELEICAO").agg(F.count(F.lit(1)).alias("linhas"), F.sum(etl.VOTES).alias("votos"))
+
+
+def _registered(df: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
+    votes = df.select("row_id", *dict.fromkeys([*etl.EXACT_KEY, *etl.WIDE_KEY, *etl.PROFILE]))
+    votes = votes.withColumns({c: F.col(c).cast("string") for c in etl.PROFILE}).withColumn("SQ_CANDIDATO", F.trim("SQ_CANDIDATO"))
+    return etl.enrich(votes, etl.prepare_register(table(spark, folder, "consulta_cand"))).select("row_id", *etl.PROFILE)
+
+
+_REGISTER = ", ".join(f"{_s(c)} AS {c}" for c in dict.fromkeys(["SQ_CANDIDATO", "NR_CANDIDATO", "SG_UF", "DS_CARGO", *etl.PROFILE]))
+_ORDER = "dt_carga DESC NULLS LAST, " + ", ".join(f"{c} NULLS LAST" for c in (*etl.PROFILE, *etl.EXACT_KEY, *etl.WIDE_KEY))
+_filled = ", ".join(f"coalesce({_s('v.' + c)}, a.{c}, b.{c}) AS {c}" for c in etl.PROFILE)
+_add("etl_rollup", _etl(lambda df, *_: _rolled(df)), "SELECT ANO_ELEICAO, NR_TURNO, SG_UF, NM_UE, DS_CARGO, SQ_CANDIDATO, sum(QT_VOTOS_NOMINAIS_VALIDOS)::BIGINT AS QT_VOTOS_NOMINAIS_VALIDOS FROM analytics GROUP BY ALL")
+_add("etl_exact_dedup", _etl(lambda df, *_: _repeats(df)), "SELECT ANO_ELEICAO, count(*) AS linhas, sum(QT_VOTOS_NOMINAIS_VALIDOS)::BIGINT AS votos FROM (SELECT DISTINCT * EXCLUDE (row_id, dt_carga) FROM analytics) GROUP BY ANO_ELEICAO")
+_add(
+    "etl_register_join", _etl(_registered),
+    f"""WITH r AS (SELECT ANO_ELEICAO, dt_carga, {_REGISTER} FROM consulta_cand),
+a AS (SELECT * FROM r WHERE ANO_ELEICAO IS NOT NULL AND SQ_CANDIDATO IS NOT NULL QUALIFY row_number() OVER (PARTITION BY ANO_ELEICAO, SQ_CANDIDATO ORDER BY {_ORDER}) = 1),
+b AS (SELECT * FROM r WHERE ANO_ELEICAO IS NOT NULL AND NR_CANDIDATO IS NOT NULL AND SG_UF IS NOT NULL AND DS_CARGO IS NOT NULL QUALIFY row_number() OVER (PARTITION BY ANO_ELEICAO, NR_CANDIDATO, SG_UF, DS_CARGO ORDER BY {_ORDER}) = 1)
+SELECT v.row_id, {_filled} FROM analytics v LEFT JOIN a ON a.ANO_ELEICAO = v.ANO_ELEICAO AND a.SQ_CANDIDATO = trim(v.SQ_CANDIDATO)
+LEFT JOIN b ON b.ANO_ELEICAO = v.ANO_ELEICAO AND b.NR_CANDIDATO = v.NR_CANDIDATO AND b.SG_UF = v.SG_UF AND b.DS_CARGO = v.DS_CARGO""",
+)
+_KEY = ", ".join(etl.IDENTITY)
+_add(
+    "quality_report", _etl(lambda df, *_: etl.quality(df)),
+    "SELECT count(*) AS linhas, count(*) FILTER (WHERE QT_VOTOS_NOMINAIS_VALIDOS < 0) AS votos_negativos, " + ", ".join(f"count(*) FILTER (WHERE {c} IS NULL) AS nulos_{c}" for c in etl.CANONICAL)
+    + f", (SELECT coalesce(sum(n), 0)::BIGINT FROM (SELECT count(*) AS n FROM analytics GROUP BY {_KEY} HAVING count(*) > 1)) AS linhas_repetidas FROM analytics",
+)
+_add(
+    "quality_by_year", _etl(lambda df, *_: etl.quality_by_year(df)),
+    "SELECT ANO_ELEICAO AS ano, count(*) AS linhas, count(DISTINCT upper(trim(SG_UF))) AS ufs, count(DISTINCT upper(trim(DS_CARGO))) AS cargos, count(DISTINCT SQ_CANDIDATO) AS candidatos, coalesce(sum(QT_VOTOS_NOMINAIS_VALIDOS), 0)::BIGINT AS votos FROM analytics GROUP BY ANO_ELEICAO",
+)
+_add(
+    "municipalities", _etl(lambda df, *_: etl.municipalities(df)),
+    f"""WITH r AS (SELECT nullif(regexp_replace(coalesce({_s('CD_MUNICIPIO')}, ''), '[^0-9]', '', 'g'), '') AS codigo, upper({_s('SG_UF')}) AS uf, {_s('NM_UE')} AS municipio FROM analytics),
+c AS (SELECT codigo, uf, municipio, count(*) AS n FROM r WHERE uf IS NOT NULL AND municipio IS NOT NULL GROUP BY ALL)
+SELECT codigo, uf, municipio FROM (SELECT * FROM c WHERE codigo IS NOT NULL QUALIFY row_number() OVER (PARTITION BY codigo ORDER BY n DESC, municipio, uf) = 1) UNION ALL SELECT codigo, uf, municipio FROM c WHERE codigo IS NULL""",
+)
+_add(
+    "union_by_name", lambda spark, folder: table(spark, folder, "analytics").select("ANO_ELEICAO", "SG_UF", "NR_ZONA").unionByName(table(spark, folder, "consulta_cand").select("SG_UF", "ANO_ELEICAO"), allowMissingColumns=True).groupBy("ANO_ELEICAO", "SG_UF").agg(F.count(F.lit(1)).alias("linhas"), F.count("NR_ZONA").alias("com_zona")),
+    "SELECT ANO_ELEICAO, SG_UF, count(*) AS linhas, count(NR_ZONA) AS com_zona FROM (SELECT ANO_ELEICAO, SG_UF, NR_ZONA FROM analytics UNION ALL BY NAME SELECT SG_UF, ANO_ELEICAO FROM consulta_cand) GROUP BY ALL",
+)
