@@ -34,6 +34,13 @@ def _pick(df: DataFrame, names: Sequence[str]) -> Column:
     return next((F.col(f"`{there[n]}`") for n in names if n in there), F.lit(None).cast("string"))
 
 
+def _any(df: DataFrame, names: Sequence[str]) -> Column:
+    """The first of the columns that has a value in the row: files united by name may each carry
+    a field under another of its names."""
+    there = {c.upper(): c for c in df.columns}
+    return F.coalesce(*[text.nullable(F.col(f"`{there[n]}`")) for n in names if n in there], F.lit(None).cast("string"))
+
+
 def age_at(birth: Column, held: Column, year: Column) -> Column:
     """Whole years at the election, from the year if its day is unknown; null outside 15 to 120."""
     sane = F.when(F.year(birth).between(1900, 2100), birth)
@@ -69,15 +76,15 @@ def enrich(votes: DataFrame, register: DataFrame) -> DataFrame:
 def canonical(raw: DataFrame) -> DataFrame:
     """Raw vote rows as the columns of the fact table; what a file lacks is null. The year comes
     from the file's name where there is no column for it."""
-    year = text.number(_pick(raw, ROLES["year"])).try_cast("int")
+    year = text.number(_any(raw, ROLES["year"])).try_cast("int")
     year = F.coalesce(year, year_of_name(F.col("__file"))) if "__file" in raw.columns else year
     out = {c: text.nullable(_pick(raw, [c]).cast("string")) for c in CANONICAL}
     out |= {
         "ANO_ELEICAO": year,
-        "NR_TURNO": F.nullif(round_number(_pick(raw, ROLES["round"])), F.lit(0)),
-        "DS_CARGO": text.nullable(_pick(raw, ROLES["office"])),
-        "NM_UE": text.nullable(_pick(raw, ROLES["place"])),
-        VOTES: F.coalesce(text.number(_pick(raw, ROLES["votes"])).try_cast("bigint"), F.lit(0).cast("bigint")),
+        "NR_TURNO": F.nullif(round_number(_any(raw, ROLES["round"])), F.lit(0)),
+        "DS_CARGO": _any(raw, ROLES["office"]),
+        "NM_UE": _any(raw, ROLES["place"]),
+        VOTES: F.coalesce(text.number(_any(raw, ROLES["votes"])).try_cast("bigint"), F.lit(0).cast("bigint")),
         "LATITUDE": text.number(_pick(raw, ["LATITUDE"])),
         "LONGITUDE": text.number(_pick(raw, ["LONGITUDE"])),
     }
