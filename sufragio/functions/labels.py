@@ -58,8 +58,8 @@ def place_key(c: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in PLACE_ALIASES.items() for x in kv]), key), key)
 
 
-def race(c: Column) -> Column:
-    key = fold_upper(c)
+def race(key: Column) -> Column:
+    """Category of a folded label."""
     out = None
     for name, parts in RACES.items():
         hit = F.lit(False)
@@ -69,8 +69,9 @@ def race(c: Column) -> Column:
     return out.otherwise(RACE_UNKNOWN)
 
 
-def gender(c: Column) -> Column:
-    key = fold_upper(c)
+def gender(key: Column, c: Column) -> Column:
+    """MASCULINO, FEMININO or the label as it stands, from the folded label and the label. The
+    folded one is a column of its own, as a CASE would work it out again in every branch."""
     return F.when((key == "M") | F.startswith(key, F.lit("MASC")), "MASCULINO").when((key == "F") | F.startswith(key, F.lit("FEM")), "FEMININO").otherwise(plain(c))
 
 

@@ -38,8 +38,10 @@ def or_na(c: Column | str) -> Column:
 
 def fold(c: Column | str) -> Column:
     """Without accents and other characters outside ASCII, outer blanks removed."""
-    plain = F.translate(text(c), ACCENTED, PLAIN)
-    return F.trim(F.when(F.octet_length(plain) == F.length(plain), plain).otherwise(F.regexp_replace(plain, "[^\\x00-\\x7F]", "")))
+    x = text(c)
+    plain = F.translate(x, ACCENTED, PLAIN)
+    ascii_only = F.octet_length(x) == F.length(x)  # most values: nothing to translate
+    return F.when(ascii_only, x).otherwise(F.trim(F.regexp_replace(plain, "[^\\x00-\\x7F]", "")))
 
 
 def fold_upper(c: Column | str) -> Column:

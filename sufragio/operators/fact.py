@@ -113,11 +113,13 @@ def bind(source: DataFrame) -> Fact:
         text.number(raw("latitude")).alias("latitude"),
         text.number(raw("longitude")).alias("longitude"),
     )
+    # three projections, each built on columns of the one before: fewer plans to analyse, and
+    # no expression is written out again inside another
     longer = F.length(F.coalesce("full_name", F.lit(""))) >= F.length(F.coalesce("ballot_name", F.lit("")))
-    named = base.withColumn("name", F.when(longer, F.coalesce("full_name", "ballot_name")).otherwise(F.col("ballot_name")))
-    named = named.withColumn("name_key", text.fold_upper(F.col("name")))
-    named = named.withColumn("candidate", F.coalesce("source_id", "number", F.lower("name")))
-    named = named.withColumn("signature", signature(F.col("cpf"), F.col("name_key"), F.col("birth")))
+    name = F.when(longer, F.coalesce("full_name", "ballot_name")).otherwise(F.col("ballot_name"))
     by_dates = F.bround(F.datediff("held", "birth") / 365.25, 0)
-    named = named.withColumn("age", F.coalesce("own_age", by_dates))
+    fold = text.fold_upper
+    named = base.select("*", name.alias("name"), fold(F.col("gender")).alias("gender_key"), fold(F.col("race")).alias("race_key"), F.coalesce("own_age", by_dates).alias("age"))
+    named = named.select("*", fold(F.col("name")).alias("name_key"), F.coalesce("source_id", "number", F.lower("name")).alias("candidate"))
+    named = named.select("*", signature(F.col("cpf"), F.col("name_key"), F.col("birth")).alias("signature"))
     return Fact(named, frozenset(r for r, c in found.items() if c))

@@ -61,9 +61,9 @@ def top_candidates(fact: Fact, scope: Scope, number: int = 1, size: int = 20) ->
 def label_of(dimension: str) -> Column:
     return {
         "status": labels.plain(F.col("status")),
-        "genero": labels.gender(F.col("gender")),
+        "genero": labels.gender(F.col("gender_key"), F.col("gender")),
         "instrucao": labels.plain(F.col("education")),
-        "cor_raca": labels.race(F.col("race")),
+        "cor_raca": labels.race(F.col("race_key")),
         "estado_civil": labels.plain(F.col("civil")),
         "ocupacao": labels.plain(F.col("occupation")),
         "cargo": labels.plain(F.col("office")),
@@ -77,12 +77,15 @@ def distribution(fact: Fact, dimension: str, scope: Scope) -> DataFrame:
         return with_share(counted, "total")
     picked = resolved_labels(scoped(fact, scope, last=False), label_of(dimension))
     unknown = F.col("label") == labels.RACE_UNKNOWN if dimension == "cor_raca" else labels.unanswered(F.col("label"))
-    return with_share(picked.filter(~unknown).groupBy(F.col("label").alias("rotulo")).agg(F.count(F.lit(1)).alias("total")), "total")
+    counts = picked.groupBy("label").agg(F.count(F.lit(1)).alias("total"))
+    # over label and count: a condition on the label alone would be pushed below the aggregation
+    known = F.when(F.col("total") > 0, ~unknown).otherwise(False)
+    return with_share(counts.filter(known).select(F.col("label").alias("rotulo"), "total"), "total")
 
 
 def race_comparison(fact: Fact, scope: Scope) -> DataFrame:
     """Rows and elected rows per race in fixed order, with the share of each in its total."""
-    df = scope.apply(fact).df.withColumn("categoria", labels.race(F.col("race"))).filter(F.col("categoria") != labels.RACE_UNKNOWN)
+    df = scope.apply(fact).df.withColumn("categoria", labels.race(F.col("race_key")))
     counts = df.groupBy("categoria").agg(F.count(F.lit(1)).alias("candidatos"), F.count_if(F.col("elected")).alias("eleitos"))
     every = fact.df.sparkSession.range(1).select(F.posexplode(F.array(*[F.lit(r) for r in labels.RACES])).alias("ordem", "categoria"))
     full = every.join(counts, "categoria", "left").fillna(0, ["candidatos", "eleitos"])
@@ -90,10 +93,12 @@ def race_comparison(fact: Fact, scope: Scope) -> DataFrame:
 
 
 def occupation_by_gender(fact: Fact, scope: Scope) -> DataFrame:
-    kind = labels.gender(F.col("gender"))
-    df = scope.apply(fact).df.select(label_of("ocupacao").alias("ocupacao"), kind.alias("g")).filter(~labels.unanswered(F.col("ocupacao")))
+    kind = labels.gender(F.col("gender_key"), F.col("gender"))
+    df = scope.apply(fact).df.select(label_of("ocupacao").alias("ocupacao"), kind.alias("g"))
     out = df.groupBy("ocupacao").agg(F.count_if(F.col("g") == "MASCULINO").alias("masculino"), F.count_if(F.col("g") == "FEMININO").alias("feminino"))
-    return out.filter((F.col("masculino") > 0) | (F.col("feminino") > 0)).orderBy(F.desc("masculino"), F.desc("feminino"), "ocupacao")
+    # one condition over label and counts: a condition on the label alone would be pushed to every row
+    some = F.when((F.col("masculino") > 0) | (F.col("feminino") > 0), ~labels.unanswered(F.col("ocupacao"))).otherwise(False)
+    return out.filter(some).orderBy(F.desc("masculino"), F.desc("feminino"), "ocupacao")
 
 
 def age_statistics(fact: Fact, scope: Scope) -> DataFrame:

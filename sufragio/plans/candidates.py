@@ -102,7 +102,14 @@ def persons_rows(fact: Fact, candidate: str, cpf: str | None = None, state: str
     """All rows of the person behind a candidate: those with the usual signature of its rows in
     scope, written once as the small table they are."""
     sig = usual_signature(Scope(state=state, office=office).apply(fact).df.filter(is_candidate(candidate, cpf)))
-    return materialize(fact.df.filter(F.col("signature") == F.lit(sig)), "person")
+    return materialize(fact.df.filter(has_signature(sig)), "person")
+
+
+def has_signature(sig: str | None):
+    """Rows of a signature, told by the number alone where that can be, as names cost more."""
+    if sig and sig.isdigit():
+        return (F.col("cpf") == sig) | ((F.col("cpf") == "") & (F.col("name") == sig) & F.col("birth").isNull())
+    return (F.col("cpf") == "") & (F.col("signature") == F.lit(sig))
 
 
 def vote_history(fact: Fact, candidate: str, cpf: str | None = None, state: str | None = None, office: str | None = None) -> DataFrame:
@@ -132,7 +139,7 @@ def electorate_profile(fact: Fact, candidate: str, scope: Scope) -> DataFrame:
     rows = scope.apply(fact).df.filter(is_candidate(candidate))
     w = F.when(F.col("counted"), F.col("votes")).otherwise(1).cast("double")
     rows = rows.withColumn("w", w)
-    g = labels.fold_upper(F.col("gender"))
+    g = F.col("gender_key")
     share = lambda c: labels.percent(F.coalesce(F.sum(F.when(c, F.col("w"))), F.lit(0.0)), F.sum("w"), 4)
     age, area = F.col("age"), labels.fold_upper(F.col("area"))
     base = rows.agg(
@@ -188,7 +195,7 @@ def compare(fact: Fact, candidates: Sequence[str], scope: Scope) -> DataFrame:
         if got["v"] is not None:
             total, place = standing(context, got["candidate"])
             sig = usual_signature(rows.filter(is_candidate(c)))
-            out.append((c, got["name"], got["party"], got["v"], total, place, *retention(inside.df.filter(F.col("signature") == F.lit(sig)), year)))
+            out.append((c, got["name"], got["party"], got["v"], total, place, *retention(inside.df.filter(has_signature(sig)), year)))
     shape = "candidato_id string, nome string, partido string, votos bigint, total bigint, posicao bigint, agora bigint, antes bigint"
     few = fact.df.sparkSession.createDataFrame(out, shape)  # at most four rows
     kept = F.when(F.coalesce("antes", F.lit(0)) > 0, labels.percent(F.col("agora"), F.col("antes"), 4)).otherwise(100.0)
