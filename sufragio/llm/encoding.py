@@ -16,7 +16,7 @@ size allows, else by a salted join.
 Defined cases: null, blank and ASCII-only values without a question mark are clean; characters
 lost for good (U+FFFD, or a question mark that no clean word has there) make a value damaged and
 are refilled only by a known word or the likeliest letters; repeated rows are each reported;
-empty tables give empty results; words of over MAX_WORD characters are scored in pieces by the same model.
+empty tables give empty results; very long words are scored whole, in logarithms.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ ALPHABET = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789.,;:'’\"()/-_&?ªº#
 REFILL = "ÃÇÍÉÁÕÚÊÔÓÂÜÏÑ’"
 LOST = "�"
 WORD_BREAK = "[ \\t\\r\\n]+"
-MIX, APPLIED, ROUNDS, SALTS, MAX_WORD = 0.7, 0.9, 4, 16, 400
+MIX, APPLIED, ROUNDS, SALTS = 0.7, 0.9, 4, 16
 PRIOR, STRENGTH = 0.002, 50.0
 
 
@@ -229,11 +229,11 @@ def damaged_values(values: DataFrame) -> DataFrame:
     hyp = hyp.join(best, "word")
     # a word that a chain turns into a far more frequent one is no evidence for itself
     clean = F.when((F.col("rival") >= 5 * F.col("own")) | (F.contains("word", F.lit(LOST))), 0.0).otherwise(F.col("own"))
-    p_own = MIX * clean / total + (1 - MIX) * F.exp("lm")
-    p_own = F.when(F.contains("word", F.lit(LOST)), F.lit(1e-30)).otherwise(F.greatest(p_own, F.lit(1e-30)))
-    p_fixed = MIX * F.coalesce("count", F.lit(0.0)) / total + (1 - MIX) * F.exp("fixed_lm")
-    p_fixed = F.greatest(p_fixed, F.when((F.col("chain") == "lost") & F.contains("word", F.lit(LOST)), F.lit(1e-20)).otherwise(F.lit(0.0)))
-    gain = hyp.select("word", "chain", "fixed", F.log((1 - APPLIED) + APPLIED * p_fixed / p_own).alias("gain"), (p_fixed > p_own).alias("use"))
+    log_of = lambda count, lm: F.greatest(F.when(count > 0, F.log(MIX * count / total)).otherwise(F.lit(-1e9)), math.log(1 - MIX) + lm)
+    more = log_of(F.coalesce("count", F.lit(0.0)), F.col("fixed_lm")) - log_of(clean, F.col("lm"))
+    # no clean word has a replacement character
+    more = F.when(F.contains("word", F.lit(LOST)) & (F.col("chain") == "lost"), F.lit(20.0)).otherwise(more)
+    gain = hyp.select("word", "chain", "fixed", F.log((1 - APPLIED) + APPLIED * F.exp(F.least(more, F.lit(500.0)))).alias("gain"), (more > 0).alias("use"))
     gain = materialize(gain.filter("gain > -2.3"), "word-gains")
 
     odd_values = values.filter(odd("value")).withColumn("id", F.xxhash64("source", "field", "value"))
