@@ -85,17 +85,17 @@ def value_type(v: Column) -> Column:
 
 
 def file_numbers(files: DataFrame, key: str, series: str, made: str) -> DataFrame:
-    """files with __seq, each file's number in its series from 0. Files are counted by month
-    and months summed up, so no window spans a whole series of unbounded size."""
-    month = F.date_trunc("month", F.coalesce(F.col(made), F.lit("0001-01-01").cast("timestamp_ntz")))
-    rows = files.select(F.col(series).alias("__series"), F.col(key).alias("__key"), F.col(made).alias("__made"), month.alias("__month"))
-    months = rows.groupBy("__series", "__month").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("__series").orderBy("__month").rowsBetween(Window.unboundedPreceding, -1)
-    months = months.withColumn("__before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    inside = F.row_number().over(Window.partitionBy("__series", "__month").orderBy(F.col("__made").asc_nulls_first(), "__key"))
+    """files with __seq, each file's number in its series from 0. Files are counted by day
+    and days summed up, so no window spans a whole series of unbounded size."""
+    day = F.date_trunc("day", F.coalesce(F.col(made), F.lit("0001-01-01").cast("timestamp_ntz")))
+    rows = files.select(F.col(series).alias("__series"), F.col(key).alias("__key"), F.col(made).alias("__made"), day.alias("__day"))
+    days = rows.groupBy("__series", "__day").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("__series").orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.withColumn("__before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    inside = F.row_number().over(Window.partitionBy("__series", "__day").orderBy(F.col("__made").asc_nulls_first(), "__key"))
     numbered = rows.withColumn("__in", inside)
-    same = numbered["__series"].eqNullSafe(months["__series"]) & (numbered["__month"] == months["__month"])
-    return numbered.join(months, same).select(numbered["__series"], "__key", (F.col("__before") + F.col("__in") - 1).alias("__seq"))
+    same = numbered["__series"].eqNullSafe(days["__series"]) & (numbered["__day"] == days["__day"])
+    return numbered.join(days, same).select(numbered["__series"], "__key", (F.col("__before") + F.col("__in") - 1).alias("__seq"))
 
 
 def catalogue(

@@ -8,8 +8,8 @@ its measured size allows; else the join is salted, as one bad value may stand in
 
 Defined cases: a null line has no fields ('column_count'); an empty line has one empty field;
 repeated lines are judged each; an empty table gives two empty tables; a checked value that is
-null, which cannot come from a line, is unusable; names of other columns never clash, as the
-operator adds only columns that start with '__'.
+null, which cannot come from a line, is unusable; other columns pass through, a column
+named as the reason is replaced, and what the operator adds besides starts with '__'.
 """
 
 from __future__ import annotations
@@ -99,7 +99,7 @@ def separate(
             own = own.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
             out = out.join(own, [f"__v{k}", "__salt"], "left")
     found = F.coalesce("__structure", *[f"__bad{k}" for k in range(len(checks))])
-    return out.withColumn(reason, found).select(*[F.col(f"`{c}`") for c in df.columns], reason, "__raw")
+    return out.withColumn(reason, found).select(*[F.col(f"`{c}`") for c in df.columns if c != reason], reason, "__raw")
 
 
 def failing(df: DataFrame, reason: str = "motivo") -> DataFrame:
