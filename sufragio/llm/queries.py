@@ -56,7 +56,7 @@ def p5_unmatched(spark: SparkSession, folder: str) -> DataFrame:
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "analytics")
     groups = {"ano_eleicao": F.col("ANO_ELEICAO"), "sg_uf": F.upper(F.trim("SG_UF")), "ds_cargo": F.upper(F.trim("DS_CARGO"))}
-    return top_n(rows, groups, "QT_VOTOS_NOMINAIS_VALIDOS", [F.col("row_id").asc()], 5, ["row_id"])
+    return top_n(rows, groups, "QT_VOTOS_NOMINAIS_VALIDOS", [("row_id", True)], 5, ["row_id"])
 
 
 CAPACITY = 2048  # tokens of a container
