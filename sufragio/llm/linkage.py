@@ -2,17 +2,27 @@
 
 Each attribute is turned into a fixed bit vector of its q-grams: the eleven digits of the person
 number by position, the six digits of the birth date by position, and the bigrams of the first
-name and of the surnames. Close pairs are found by multi-index hashing: the vectors are cut into
-blocks (three or two digits, the year, day and month, a name) and each record is indexed under
-the combinations of blocks listed in _keys. By the pigeonhole principle every pair whose person
-numbers differ in at most two of four blocks, or whose date and names differ in at most one of
-their blocks beyond those of one combination, meets in some bucket; no pair outside is compared.
-Per-field Dice scores become log-likelihood ratios, whose sum is calibrated to a confidence by
-a logistic fit on the pairs with two complete person numbers.
+name and of each family name, spelt by sound. Their joined vector has four blocks for the number,
+three for the date (year, month, day) and one for each name word. Close pairs are found exactly by
+multi-index hashing: every record is indexed under the combinations of blocks in _keys, so that a
+pair meets in some bucket if
+  - two of the four number blocks are undamaged, as after any change of up to two digits (4 bits), or
+  - the date is undamaged, but for day and month turned round, and so is one name word; with w words
+    in common, any w - 1 changed bits of the names, and more where they fall into the same words, or
+  - one date block is damaged and two name words are undamaged (any w - 2 changed bits), or
+  - the last four digits of a number known in part and one name word are undamaged.
+No other pair is compared; one that shares neither number nor date is never a match.
+
+Dice scores of a pair's vectors give each field a level of agreement. The weight of each field's
+level is learned by expectation-maximization over the counts of all compared pairs by levels: among
+matches the fields are independent; among other pairs the date and the names are counted together,
+over pairs whose complete numbers differ, so that relatives and namesakes are seen as what they
+are. Prior and weights make a posterior, the confidence; pairs above CUT are matches.
 
 Scale: both sides shrink to distinct identities before indexing, so copies of a record cost
-nothing; buckets need the equality of five or more digits or of a date and a name; candidate
-pairs are made distinct by a shuffle on the pair and everything stays in the JVM.
+nothing; buckets need the equality of six digits, or of a date and a word; candidate pairs are
+made distinct by a shuffle on the pair, a hot bucket is split by adaptive execution, and
+everything stays in the JVM. What reaches the driver is one row per combination of levels.
 
 Defined cases: a missing or unusable attribute gives no evidence and no block; a record without
 a usable name is matched by nothing; all copies of a record and all candidacies of one person
@@ -22,14 +32,14 @@ long names are encoded whole.
 
 from __future__ import annotations
 
-import math
 import re
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sufragio.functions.text import ACCENTED, PLAIN
-from sufragio.session import materialize
+from sufragio.session import materialize, measured
 
 # Portuguese short names and the names they stand for.
 NICKNAMES = {
@@ -41,14 +51,8 @@ TITLES = ("DR", "DRA", "PROF", "PROFA", "SR", "SRA", "PASTOR", "PASTORA", "PE",
 SUFFIXES = ("JUNIOR", "NETO", "FILHO", "SOBRINHO", "JR")
 SOUNDS = (("TH", "T"), ("PH", "F"), ("CH", "X"), ("K", "C"), ("Y", "I"), ("W", "V"), ("Z", "S"), ("J", "G"), ("H", ""))
 MONTHS = {m: i for i, m in enumerate(("jan", "fev", "mar", "abr", "mai", "jun", "jul", "ago", "set", "out", "nov", "dez"), 1)}
-#: Log-likelihood ratios of the agreement levels, and the sum from which a pair is likelier than not.
-CPF_EQUAL, CPF_NEAR, CPF_DIFFERS, PER_KNOWN_DIGIT = 9.0, 7.0, -7.0, 1.1
-DATE_EQUAL, DATE_NEAR, DATE_UNSURE, DATE_DIFFERS = 6.0, 4.0, 0.0, -4.0
-FIRST = ((0.7, 2.5), (0.45, -1.0), (0.0, -6.0))
-SURNAME = ((0.85, 5.0), (0.6, 3.0), (0.4, -2.0), (0.0, -3.0))
-#: A whole surname in common, where another one differs.
-ONE_SURNAME = 1.0
-CUT = 8.0
+#: Posterior from which a pair is a match, and how often a first name must stand on the other side to be known there.
+CUT, KNOWN = 0.5, 2
 
 
 def folded(name: Column) -> Column:
@@ -129,109 +133,141 @@ def birth_date(c: Column) -> Column:
 def encode(df: DataFrame, name: str, date: str, number: str, keep: list[str]) -> DataFrame:
     """keep, the normalised attributes and their bit vectors."""
     x = df.select(*keep, folded(F.col(name)).alias("name"), tokens(F.col(name)).alias("words"), birth_date(F.col(date)).alias("date"), person_number(F.col(number)).alias("cpf"))
-    family = F.filter(F.slice("words", F.lit(2), F.greatest(F.size("words") - 1, F.lit(0))), lambda w: ~w.isin(*SUFFIXES, "GUNIOR"))
+    rest = F.slice("words", F.lit(2), F.greatest(F.size("words") - 1, F.lit(0)))
+    family = F.filter(rest, lambda w: ~w.isin(*SUFFIXES, "GUNIOR") & (F.length(w) > 1))
     md = F.concat(F.least(F.col("date").substr(3, 2), F.col("date").substr(5, 2)), F.greatest(F.col("date").substr(3, 2), F.col("date").substr(5, 2)))
-    x = x.withColumn("family", family).withColumn("first", F.get("words", F.lit(0))).withColumn("last", F.get(F.filter("family", lambda w: F.length(w) > 1), F.size(F.filter("family", lambda w: F.length(w) > 1)) - 1))
-    x = x.withColumn("grams", _bigrams(F.col("family")))
+    x = x.withColumn("family", F.array_distinct(family)).withColumn("first", F.get("words", F.lit(0)))
     return x.select(
-        *keep, "name", "cpf", "date", F.filter("family", lambda w: F.length(w) > 3).alias("long"),
-        F.substring("first", 1, 1).alias("initial"), (F.length("first") == 1).alias("short"),
-        _bits(_bigrams(F.array("first"))).alias("bf"), _bits(_bigrams(F.array("last"))).alias("bl"),
-        _bits(F.col("grams")).alias("bs0"), _bits(F.transform("grams", lambda g: F.concat(g, F.lit("#")))).alias("bs1"),
+        *keep, "name", "cpf", "date", "first", F.substring("first", 1, 1).alias("initial"), (F.length("first") == 1).alias("short"),
+        _bits(_bigrams(F.array("first"))).alias("bf"), F.array_sort(F.array_distinct(F.transform("family", lambda w: _bits(_bigrams(F.array(w)))))).alias("bw"),
         _positions(F.col("cpf"), 1, 6).alias("bc0"), _positions(F.col("cpf"), 7, 11).alias("bc1"),
         _positions(F.col("date"), 1, 6).alias("bd"), F.when(md.isNotNull(), md).alias("md"),
     )
 
 
 def _keys() -> Column:
-    """Array of (combination, hash of its blocks) under which a record is indexed."""
+    """The hashes under which a record is indexed: each of a combination and its blocks."""
     cut = lambda c, low, n: F.call_function("shiftright", F.col(c), F.lit(10 * low)).bitwiseAND((1 << (10 * n)) - 1)
     full = lambda b, n: F.when(F.bit_count(b) == n, b)
-    c1, c2 = full(cut("bc0", 0, 3), 3), full(cut("bc0", 3, 3), 3)
-    c3, c4, tail = full(cut("bc1", 0, 3), 3), full(cut("bc1", 3, 2), 2), full(cut("bc1", 1, 4), 4)
-    first, last = F.when(F.col("bf") != 0, F.col("bf")), F.when(F.col("bl") != 0, F.col("bl"))
+    c = [full(cut("bc0", 0, 3), 3), full(cut("bc0", 3, 3), 3), full(cut("bc1", 0, 3), 3), full(cut("bc1", 3, 2), 2)]
+    tail = full(cut("bc1", 1, 4), 4)
     y, m, d, md = F.col("date").substr(1, 2), F.col("date").substr(3, 2), F.col("date").substr(5, 2), F.col("md")
-    combos = [
-        (c1, c2), (c1, c3), (c1, c4), (c2, c3), (c2, c4), (c3, c4), (tail, first), (tail, last),
-        (y, md, first), (y, md, last), (y, m, first, last), (y, d, first, last), (md, first, last),
-    ]
-    made = []
-    for i, parts in enumerate(combos):
-        there = parts[0].isNotNull()
-        for p in parts[1:]:
-            there = there & p.isNotNull()
-        made.append(F.when(there, F.struct(F.lit(i).alias("combo"), F.xxhash64(*parts).alias("hash"))))
-    return F.filter(F.array(*made), lambda k: k.isNotNull())
-
-
-def _dice(a: list[Column], b: list[Column], least: bool = False) -> Column:
-    """Dice of bit vectors in pieces; least: over the smaller one (overlap), for shortened names."""
-    both = sum((F.bit_count(x.bitwiseAND(y)) for x, y in zip(a, b)), F.lit(0))
-    na, nb = sum((F.bit_count(x) for x in a), F.lit(0)), sum((F.bit_count(y) for y in b), F.lit(0))
-    base = F.least(na, nb) if least else (na + nb) / 2
-    return F.when(base > 0, both / base)
-
-
-def _level(x: Column, levels: tuple[tuple[float, float], ...], missing: float = 0.0) -> Column:
-    out = F.when(x.isNull(), F.lit(missing))
-    for least, value in levels:
-        out = out.when(x >= least, value)
-    return out.otherwise(levels[-1][1])
-
-
-def scored(pairs: DataFrame) -> DataFrame:
-    """pairs of l_* and r_* encodings, with their evidence from the number and from the rest."""
-    two = lambda *cs: ([F.col(f"l_{c}") for c in cs], [F.col(f"r_{c}") for c in cs])
-    known = lambda s: F.bit_count(F.col(f"{s}_bc0")) + F.bit_count(F.col(f"{s}_bc1"))
-    cpf = _dice(*two("bc0", "bc1"), least=True)
-    few = F.least(known("l"), known("r"))
-    number = (
-        F.when((known("l") == 0) | (known("r") == 0), 0.0)
-        .when((few == 11) & (cpf == 1), CPF_EQUAL)
-        .when(few < 11, F.when(cpf == 1, PER_KNOWN_DIGIT * few).otherwise(CPF_DIFFERS))
-        .when(cpf >= 9 / 11, CPF_NEAR)
-        .otherwise(CPF_DIFFERS)
-    )
-    day = lambda s: F.col(f"{s}_date").substr(5, 2).cast("int")
-    same = F.bit_count(F.col("l_bd").bitwiseAND(F.col("r_bd")))
-    turned = (F.col("l_md") == F.col("r_md")) & (F.col("l_date").substr(1, 2) == F.col("r_date").substr(1, 2))
-    beside = (F.col("l_date").substr(1, 4) == F.col("r_date").substr(1, 4)) & (F.abs(day("l") - day("r")) == 1)
-    date = (
-        F.when(F.col("l_date").isNull() | F.col("r_date").isNull(), 0.0)
-        .when(same == 6, DATE_EQUAL)
-        .when(turned | beside | (same == 5), DATE_NEAR)
-        .when(same == 4, DATE_UNSURE)
-        .otherwise(DATE_DIFFERS)
-    )
-    initial = F.col("l_short") | F.col("r_short")
-    first = F.when(initial, F.when(F.col("l_initial") == F.col("r_initial"), 0.5).otherwise(-6.0)).otherwise(_level(_dice(*two("bf")), FIRST))
-    surname = _level(_dice(*two("bs0", "bs1"), least=True), SURNAME)
-    surname = F.when(F.arrays_overlap("l_long", "r_long"), F.greatest(surname, F.lit(ONE_SURNAME))).otherwise(surname)
-    return pairs.select("l_id", "r_id", number.alias("number"), (date + first + surname).alias("rest"), (few == 11).alias("sure"))
-
-
-def calibrate(pairs: DataFrame) -> tuple[float, float]:
-    """Slope and intercept of the log-odds in the evidence without the number, from the pairs
-    with two complete numbers, whose agreement is the label: a ridge fit towards (1, -CUT) on
-    the counts per half point, so what reaches the driver is bounded."""
-    cell = F.round(F.col("rest") * 2) / 2
-    cells = pairs.filter("sure").groupBy(cell.alias("x")).agg(F.count_if(F.col("number") > 0).alias("yes"), F.count(F.lit(1)).alias("n")).collect()
-    a, b, ridge = 1.0, -CUT, 10.0
-    for _ in range(50):
-        ga, gb, haa, hab, hbb = -ridge * (a - 1.0), -ridge * (b + CUT), ridge, 0.0, ridge
-        for r in cells:
-            p = 1 / (1 + math.exp(-max(-30.0, min(30.0, a * r["x"] + b))))
-            e, w = r["yes"] - r["n"] * p, r["n"] * p * (1 - p)
-            ga, gb, haa, hab, hbb = ga + e * r["x"], gb + e, haa + w * r["x"] ** 2, hab + w * r["x"], hbb + w
-        det = haa * hbb - hab * hab
-        da, db = (hbb * ga - hab * gb) / det, (haa * gb - hab * ga) / det
-        part = min(1.0, 0.2 / max(abs(da), 1e-9), 1.0 / max(abs(db), 1e-9))  # short steps: the fit is steep
-        a, b = min(3.0, max(0.1, a + part * da)), b + part * db
-    return a, b
-
-
-def link(left: DataFrame, right: DataFrame, left_id: str, right_id: str, name: str, date: str, number: str) -> DataFrame:
-    """left_id, right_id, confidence, score for the pairs of records of the same person."""
+    names = F.filter(F.array_distinct(F.concat(F.array("bf"), "bw")), lambda w: w != 0)
+    twos = F.flatten(F.transform(names, lambda a: F.transform(F.filter(names, lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    none = F.array().cast("array<bigint>")
+    fixed = [(c[i], c[j]) for i in range(4) for j in range(i + 1, 4)]
+    made = [F.array(*[F.when(p.isNotNull() & q.isNotNull(), F.xxhash64(F.lit(k), p, q)) for k, (p, q) in enumerate(fixed)])]
+    one = [(F.lit(10), tail), (F.lit(11), F.concat(y, md))]
+    with_one = lambda k, b: F.transform(names, lambda w: F.xxhash64(k, b, w))
+    with_two = lambda k, b: F.transform(twos, lambda t: F.xxhash64(k, b, t["a"], t["b"]))
+    made += [F.when(b.isNotNull(), with_one(k, b)).otherwise(none) for k, b in one]
+    two = [(F.lit(12), F.concat(y, m)), (F.lit(13), F.concat(y, d)), (F.lit(14), md)]
+    made += [F.when(b.isNotNull(), with_two(k, b)).otherwise(none) for k, b in two]
+    return F.array_distinct(F.filter(F.concat(*made), lambda k: k.isNotNull()))
+
+
+def _dice(a: Column, b: Column) -> Column:
+    whole = F.bit_count(a) + F.bit_count(b)
+    return F.when(whole > 0, 2 * F.bit_count(a.bitwiseAND(b)) / whole)
+
+
+#: Levels of agreement of each field, told by Dice scores of its vectors; the first is 'cannot be compared'.
+NUMBER = ("none", "equal", "near", "differs", "part", "short part", "part differs", "differs in two blocks")
+DATE = ("none", "equal", "turned or beside", "one digit", "two digits", "differs")
+FIRST = ("none", "equal", "near", "far", "differs", "initial", "initial differs", "far and misspelt")
+FAMILY = ("none", "equal", "near", "part", "some", "far", "differs", "near, no word equal", "part, no word equal", "some, no word equal")
+SIZES = (len(NUMBER), len(DATE), len(FIRST), len(FAMILY))
+
+
+def _level(*cases: tuple[Column, int], otherwise: int) -> Column:
+    out = None
+    for when, level in cases:
+        out = F.when(when, level) if out is None else out.when(when, level)
+    return out.otherwise(otherwise)
+
+
+def compared(pairs: DataFrame) -> DataFrame:
+    """pairs of l_* and r_* encodings as l_id, r_id and cell, the levels of the four fields in one number."""
+    l, r = (lambda c: F.col(f"l_{c}")), (lambda c: F.col(f"r_{c}"))  # noqa: E741
+    # the number: Dice of the positions that both sides know
+    known = lambda s: F.regexp_count(F.coalesce(s("cpf"), F.lit("")), F.lit("[0-9]"))
+    few = F.least(known(l), known(r))
+    same = F.bit_count(l("bc0").bitwiseAND(r("bc0"))) + F.bit_count(l("bc1").bitwiseAND(r("bc1")))
+    digits = F.filter(F.zip_with(F.split(l("cpf"), ""), F.split(r("cpf"), ""), lambda a, b: (a != "*") & (b != "*") & (a != "") & (b != "")), lambda x: x)
+    shared = F.when(few == 11, 11).otherwise(F.size(digits))
+    apart = lambda c, low, n: (l(c).bitwiseXOR(r(c)).bitwiseAND(((1 << (10 * n)) - 1) << (10 * low)) == 0).cast("int")
+    blocks = apart("bc0", 0, 3) + apart("bc0", 3, 3) + apart("bc1", 0, 3) + apart("bc1", 3, 2)
+    number = _level((few == 0, 0), (shared < 4, 0), ((few == 11) & (same == 11), 1), ((few == 11) & (same >= 9), 2), ((few == 11) & (blocks >= 2), 7), (few == 11, 3), ((same == shared) & (shared > 4), 4), (same == shared, 5), otherwise=6)
+    day = lambda s: s("date").substr(5, 2).cast("int")
+    turned = (l("md") == r("md")) & (l("date").substr(1, 2) == r("date").substr(1, 2))
+    beside = (l("date").substr(1, 4) == r("date").substr(1, 4)) & (F.abs(day(l) - day(r)) == 1)
+    agree = F.bit_count(l("bd").bitwiseAND(r("bd")))
+    date = _level((l("date").isNull() | r("date").isNull(), 0), (agree == 6, 1), (turned | beside, 2), (agree == 5, 3), (agree == 4, 4), otherwise=5)
+    fd = _dice(l("bf"), r("bf"))
+    first = _level((l("short") | r("short"), F.when(l("initial") == r("initial"), 5).otherwise(6)), (fd.isNull(), 0), (fd >= 0.95, 1), (fd >= 0.7, 2), (fd < 0.45, 4), (l("known") & r("known"), 3), otherwise=7)
+    # the family: Dice of each word with the other side's words
+    partner = lambda a, b: F.size(F.filter(a, lambda w: F.exists(b, lambda v: _dice(w, v) >= 0.6)))
+    nl, nr = F.size(l("bw")), F.size(r("bw"))
+    both = F.when(nl <= nr, partner(l("bw"), r("bw"))).otherwise(partner(r("bw"), l("bw")))
+    less = F.least(nl, nr)
+    bits = lambda a: F.aggregate(a, F.lit(0).cast("bigint"), lambda x, w: x.bitwiseOR(w))
+    exact = F.size(F.array_intersect(l("bw"), r("bw"))) > 0
+    level = lambda yes, no: F.when(exact, yes).otherwise(no)
+    family = _level(
+        (less == 0, 0), (l("bw") == r("bw"), 1), ((both == less) & (nl == nr), level(2, 7)), (both == less, level(3, 8)), (both > 0, level(4, 9)),
+        (_dice(bits(l("bw")), bits(r("bw"))) >= 0.5, 5), otherwise=6,
+    )
+    cell = ((number * SIZES[1] + date) * SIZES[2] + first) * SIZES[3] + family
+    return pairs.select("l_id", "r_id", cell.cast("int").alias("cell"))
+
+
+#: Shares of the levels among matches and among other pairs from which learning starts, and how
+#: many pairs they count for: small inputs keep them, in large ones the data decide.
+MATCHES = (
+    (0.3, 0.4, 0.15, 0.001, 0.08, 0.05, 0.001, 0.001), (0.1, 0.75, 0.08, 0.05, 0.01, 0.01), (0.01, 0.9, 0.03, 0.01, 0.003, 0.02, 0.002, 0.02),
+    (0.01, 0.5, 0.1, 0.25, 0.07, 0.005, 0.02, 0.02, 0.01, 0.005),
+)
+OTHERS = (
+    (0.3, 1e-6, 5e-6, 0.4, 1e-6, 1e-4, 0.3, 1e-4), (0.1, 5e-5, 3e-4, 2e-3, 0.02, 0.88), (0.01, 0.03, 0.01, 0.03, 0.88, 0.005, 0.03, 0.005),
+    (0.01, 1e-4, 5e-4, 1e-3, 0.02, 0.01, 0.94, 0.002, 0.004, 0.01),
+)
+AS_MATCHES, AS_OTHERS = 30.0, 1e5
+
+
+def confidences(cells: dict[int, float], sizes: dict[str, float]) -> dict[int, float]:
+    """Posterior of a match for each cell. cells: number of compared pairs by cell; sizes: identities
+    of either side (l, r), with a number (ln, rn), and with a complete one (lc, rc)."""
+    if not cells:
+        return {}
+    of = np.array(sorted(cells))
+    n = np.array([float(cells[c]) for c in of])
+    at = np.stack(np.unravel_index(of, SIZES))
+    number, rest = at[0], np.ravel_multi_index(at[1:], SIZES[1:])
+    every, complete, some = sizes["l"] * sizes["r"], sizes["lc"] * sizes["rc"], sizes["ln"] * sizes["rn"]
+    mixed = lambda counted, whole, start, weight: (counted + weight * start) / (whole + weight)
+    count = lambda w: np.bincount(rest, w, minlength=int(np.prod(SIZES[1:])))
+    # among other pairs: how often date and names agree, over all pairs whose complete numbers
+    # differ where those all meet, else over those that met by their number alone
+    start = np.einsum("i,j,k->ijk", *map(np.array, OTHERS[1:])).ravel()
+    start /= start.sum()
+    apart, random = count(n * np.isin(number, (3, 7))), count(n * (number == 7))
+    other = np.maximum(mixed(apart, complete, start, AS_OTHERS), mixed(random, random.sum(), start, AS_OTHERS / 100))
+    matched = np.where(number == 1, np.any(at[1:] == 1, axis=0), np.where(np.isin(number, (3, 7)), 0.0, 0.3)).astype(float)
+    for _ in range(1000):
+        share = [mixed(np.bincount(a, n * matched, minlength=k), (n * matched).sum(), np.array(m), AS_MATCHES) for a, k, m in zip(at, SIZES, MATCHES)]
+        counted = np.bincount(number, n * (1 - matched), minlength=SIZES[0])
+        counted[[0, 3, 6]] = every - some, complete, max(0.0, some - complete)  # nearly all pairs, most of which are never compared
+        by_number = mixed(counted, every, np.array(OTHERS[0]), AS_OTHERS)
+        odds = sum(np.log(p[a]) for p, a in zip(share, at)) - np.log(by_number[number] * other[rest]) + np.log(((n * matched).sum() + 0.5) / every)
+        new = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+        done, matched = np.abs(new - matched).max() < 1e-6, new
+        if done:
+            break
+    return dict(zip(of.tolist(), matched.tolist()))
+
+
+def link(left: DataFrame, right: DataFrame, left_id: str, right_id: str, name: str, date: str, number: str, cut: float = CUT) -> DataFrame:
+    """left_id, right_id, confidence for the pairs of records of the same person."""
     who = ["name", "date", "cpf"]
     l_all = encode(left, name, date, number, [left_id])
     r_all = encode(right, name, date, number, [right_id])
@@ -239,17 +275,24 @@ def link(left: DataFrame, right: DataFrame, left_id: str, right_id: str, name: s
     # candidacies with one folded name and date are one person, whatever they say of the number
     r_id = F.when(F.col("date").isNotNull(), F.xxhash64("name", "date")).otherwise(F.xxhash64("name", F.coalesce("cpf", F.lit("-"))))
     l_all, r_all = l_all.filter("name <> ''").withColumn("id", l_id), r_all.filter("name <> ''").withColumn("id", r_id)
-    lefts = materialize(l_all.drop(left_id).dropDuplicates(["id"]), "left-identities")
+    lefts = materialize(l_all.drop(left_id, "name").dropDuplicates(["id"]), "left-identities")
     numbers = r_all.groupBy("id", "cpf").agg(F.count(F.lit(1)).alias("n")).groupBy("id").agg(F.max(F.struct(F.col("cpf").isNotNull(), "n", "cpf"))["cpf"].alias("cpf"))
-    rights = r_all.drop(right_id, "cpf", "bc0", "bc1").dropDuplicates(["id"]).join(numbers, "id")
+    rights = r_all.drop(right_id, "name", "cpf", "bc0", "bc1").dropDuplicates(["id"]).join(numbers, "id")
     rights = materialize(rights.withColumn("bc0", _positions(F.col("cpf"), 1, 6)).withColumn("bc1", _positions(F.col("cpf"), 7, 11)), "right-identities")
-    index = lambda x, s: x.select(F.col("id").alias(f"{s}_id"), F.explode(_keys()).alias("k")).select(f"{s}_id", "k.combo", "k.hash")
-    met = index(lefts, "l").join(index(rights, "r"), ["combo", "hash"]).select("l_id", "r_id").distinct()
-    side = lambda x, s: x.select(*[F.col(c).alias(f"{s}_{c}") for c in x.columns])
-    pairs = scored(met.join(side(lefts, "l"), "l_id").join(side(rights, "r"), "r_id"))
-    pairs = materialize(pairs.filter((F.col("number") + F.col("rest") > 0) | F.col("sure")), "pairs")
-    a, b = calibrate(pairs)
-    good = pairs.withColumn("score", F.col("number") + F.col("rest")).filter(F.col("score") >= CUT)
-    good = good.withColumn("confidence", 1 / (1 + F.exp(-(a * F.col("rest") + b + F.col("number")))))
+    index = lambda x, s: x.select(F.col("id").alias(f"{s}_id"), F.explode(_keys()).alias("key"))
+    met = index(lefts, "l").join(index(rights, "r"), "key").select("l_id", "r_id").distinct()
+
+    def side(x: DataFrame, other: DataFrame, s: str) -> DataFrame:
+        names, _ = measured(materialize(other.groupBy("first").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= KNOWN).select("first", F.lit(True).alias("known")), "known-names"))
+        x = x.join(names, "first", "left").withColumn("known", F.coalesce("known", F.lit(False))).drop("first")
+        return x.select(*[F.col(c).alias(f"{s}_{c}") for c in x.columns])
+
+    pairs = materialize(compared(met.join(side(lefts, rights, "l"), "l_id").join(side(rights, lefts, "r"), "r_id")), "pairs")
+    cells = {r["cell"]: r["n"] for r in pairs.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most the product of SIZES
+    count = [F.count(F.lit(1)).alias(""), F.count("cpf").alias("n"), F.count_if(F.col("cpf").rlike("^[0-9]{11}\\z")).alias("c")]
+    sizes = {s + c: float(v) for s, x in (("l", lefts), ("r", rights)) for c, v in zip(("", "n", "c"), x.agg(*count).first())}
+    judged = [(c, p) for c, p in confidences(cells, sizes).items() if p >= cut]
+    judged = left.sparkSession.createDataFrame(judged, "cell int, confidence double")
+    good = pairs.join(F.broadcast(judged), "cell")  # bounded as the cells are
     out = good.join(l_all.select(F.col("id").alias("l_id"), left_id), "l_id").join(r_all.select(F.col("id").alias("r_id"), right_id).distinct(), "r_id")
-    return out.select(left_id, right_id, "score", "confidence")
+    return out.select(left_id, right_id, "confidence")
