@@ -75,8 +75,8 @@ def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
     return packing.fills(packed_documents(spark, folder), "doc_id", CAPACITY)
 
 
-def _mixture(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "fontes_alvo"), "doc_id", "text", "source")
+def _mixture(spark: SparkSession, folder: str, budget: float | str | None = None) -> tuple[DataFrame, DataFrame]:
+    return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "fontes_alvo"), "doc_id", "text", "source", budget=budget)
 
 
 def p8_mixture(spark: SparkSession, folder: str) -> DataFrame:
@@ -87,6 +87,21 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return _mixture(spark, folder)[1]
 
 
+def p8_shares_all(spark: SparkSession, folder: str) -> DataFrame:
+    """The mixture of as many tokens as there are, scarce sources being used up."""
+    return _mixture(spark, folder, "all")[1]
+
+
+def p8_kept(spark: SparkSession, folder: str) -> DataFrame:
+    """Per listed source with documents: whether its share is within a point of its target among
+    the sources that have documents, and whether no document is used too often or twice chosen."""
+    chosen, report = _mixture(spark, folder)
+    most = table(spark, folder, "fontes_alvo").select(mixing.source_name(F.col("source")).alias("fonte"), "max_repeticoes")
+    used = chosen.groupBy("fonte").agg(F.max("repeticoes").alias("r"), (F.count(F.lit(1)) == F.count_distinct("doc_id")).alias("once"))
+    rows = report.filter("disponivel > 0").join(used, "fonte", "left").join(most, "fonte")
+    return rows.select("fonte", (F.abs(F.col("parte") - F.col("meta")) <= 0.01).alias("parte_mantida"), ((F.col("r") <= F.col("max_repeticoes")) & F.col("once")).alias("repeticoes_mantidas"))
+
+
 def reading_levels(spark: SparkSession, folder: str) -> DataFrame:
     return reading.assess(table(spark, folder, "documents"), table(spark, folder, "rotulos_leitura"), "doc_id", "text", "nivel")
 
@@ -112,9 +127,11 @@ def p9_hardest(spark: SparkSession, folder: str) -> DataFrame:
     return rows.orderBy(F.col("esperado").desc_nulls_last(), "doc_id").limit(100).select("doc_id", "nivel", F.round("esperado", 6).alias("esperado"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_confidence": p1_confidence, "p2_found": p2_found, "p2_repaired": p2_repaired, "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p6_found": p6_found, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_levels": p9_levels, "p9_profile": p9_profile, "p9_hardest": p9_hardest}
+QUERIES = {"p1_found": p1_found, "p1_confidence": p1_confidence, "p2_found": p2_found, "p2_repaired": p2_repaired, "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p6_found": p6_found, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p8_shares_all": p8_shares_all, "p8_kept": p8_kept, "p9_found": p9_found, "p9_levels": p9_levels, "p9_profile": p9_profile, "p9_hardest": p9_hardest}
 ORACLE = {
     "p6_found": """SELECT * FROM (SELECT ANO_ELEICAO AS ano_eleicao, upper(trim(SG_UF)) AS sg_uf, upper(trim(DS_CARGO)) AS ds_cargo,
   row_number() OVER (PARTITION BY ANO_ELEICAO, upper(trim(SG_UF)), upper(trim(DS_CARGO)) ORDER BY QT_VOTOS_NOMINAIS_VALIDOS DESC, row_id)::INT AS posicao, row_id
   FROM analytics WHERE ANO_ELEICAO IS NOT NULL AND SG_UF IS NOT NULL AND DS_CARGO IS NOT NULL AND QT_VOTOS_NOMINAIS_VALIDOS IS NOT NULL) WHERE posicao <= 5""",
+    "p8_kept": """SELECT f.source AS fonte, TRUE AS parte_mantida, TRUE AS repeticoes_mantidas FROM fontes_alvo f WHERE EXISTS (SELECT 1 FROM documents d
+  WHERE replace(replace(lower(trim(d.source)), ' ', '_'), '-', '_') = f.source AND length(d.text) > 0)""",
 }

@@ -1,15 +1,16 @@
 """Reading level of each document by smoothed unigram language models per level.
 
-One model per level is trained on the labelled documents (at most MAX_LABELLED of them, taken by
-a hash of the key, a documented bound; a document with several labels counts in parts for each).
+One model per level is trained on the labelled documents (about MAX_LABELLED of them at most, taken
+by a hash of the key, a documented bound; a document with several labels counts in parts for each).
 Where a level has no labelled document, texts are seeded by a readability formula (long sentences
-of long words). The vocabulary keeps the VOCABULARY words of the most labelled occurrences, so the
-model that is sent to the workers has a fixed size. A document is scored whole, sentence by
-sentence (pieces of at most PIECE words where punctuation is missing): each piece has a posterior
-over the levels under the models, and the document gets the level with the highest mean, so that
-one harder or easier sentence does not change it.
+of long words). Every word of the training texts is in the model, which that bound keeps small
+enough to be sent to the workers. A document is scored whole, sentence by sentence (a sentence of
+more than PIECE words in even parts; fragments of fewer than LEAST words belong to the sentence
+after them): each piece has a posterior over the levels under the models, and the document gets the
+level with the highest mean, so that one harder or easier sentence does not change it.
 
-Scale: training is one aggregation over the labelled texts; scoring is one pass without a shuffle.
+Scale: training is one aggregation over the labelled texts; scoring is one pass without a shuffle,
+in which the words of a batch are looked up and summed as arrays.
 
 Defined cases: null, blank and wordless texts have no level (null) and no words; texts of one
 word are scored as they are; repeated texts and keys each get a row; ties go to the lower level;
@@ -19,48 +20,27 @@ no model and every level is null; other columns of the input are kept out of the
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sufragio.functions.text import ACCENTED, PLAIN
+from sufragio.llm.unigram import Unigram, sampled, softmax, words_of
 
 LEVELS = (1, 2, 3, 4)
-MAX_LABELLED, VOCABULARY, SMOOTHING, PIECE, SHORTEST = 50_000, 60_000, 0.1, 40, 3
-WORD = re.compile("[a-z]+|[0-9]+")
+MAX_LABELLED, PIECE, LEAST = 50_000, 40, 3
 SENTENCE = re.compile("(?<=[.!?;:])\\s+|[\\r\\n]+")
-FOLD = str.maketrans(ACCENTED, PLAIN)
 #: Mean words per sentence + 6 x mean letters per word, at which a seeded text is of level 2, 3, 4.
 SEED_CUTS = (36.0, 46.0, 60.0)
 
 
-def words(text: str) -> list[str]:
-    """Lower-case words without accents; any number is '#'."""
-    return ["#" if w[0] <= "9" else w for w in WORD.findall(text.translate(FOLD).lower())]
-
-
-def _words(text: Column) -> Column:
-    found = F.regexp_extract_all(F.lower(F.translate(text, ACCENTED, PLAIN)), F.lit(f"({WORD.pattern})"), F.lit(1))
-    return F.transform(found, lambda w: F.when(w < "a", "#").otherwise(w))
-
-
-def pieces(text: str) -> list[list[str]]:
-    out = []
-    for s in SENTENCE.split(text):
-        w = words(s)
-        n = max(1, math.ceil(len(w) / PIECE))
-        out += [w[i * len(w) // n : (i + 1) * len(w) // n] for i in range(n)] if len(w) >= SHORTEST else []
-    return out or [w for w in [words(text)] if w]
-
-
 def labelled(documents: DataFrame, labels: DataFrame, key: str, text: str, level: str) -> DataFrame:
     """Training texts with the weight of each level."""
     weight = labels.filter(F.col(level).isin(*LEVELS)).groupBy(F.col(key).alias("__key")).agg(*[F.count_if(F.col(level) == g).alias(f"l{g}") for g in LEVELS])
-    weight = weight.orderBy(F.xxhash64("__key"), "__key").limit(MAX_LABELLED)
+    weight = sampled(weight, "__key", MAX_LABELLED)
     total = sum((F.col(f"l{g}") for g in LEVELS), F.lit(0))
     texts = documents.select(F.col(key).alias("__key"), F.col(text).alias("__text")).dropna().dropDuplicates(["__key"])
     return texts.join(weight, "__key").select("__text", *[(F.col(f"l{g}") / total).alias(f"w{g}") for g in LEVELS])
@@ -68,36 +48,28 @@ def labelled(documents: DataFrame, labels: DataFrame, key: str, text: str, level
 
 def seeded(documents: DataFrame, text: str) -> DataFrame:
     """Texts with a level by formula."""
-    w = _words(F.col(text))
+    w = words_of(F.col(text))
     n = F.greatest(F.size(w), F.lit(1))
     sentences = F.greatest(F.regexp_count(F.col(text), F.lit("[.!?;]+|[\\r\\n]+")), F.lit(1))
     score = n / sentences + 6 * F.aggregate(w, F.lit(0), lambda a, x: a + F.length(x)) / n
-    x = documents.filter(F.col(text).isNotNull()).orderBy(F.xxhash64(text)).limit(MAX_LABELLED).select(F.col(text).alias("__text"), score.alias("s"))
+    x = sampled(documents.filter(F.col(text).isNotNull()), text, MAX_LABELLED).select(F.col(text).alias("__text"), score.alias("s"))
     g = F.lit(1) + sum(((F.col("s") >= c).cast("int") for c in SEED_CUTS), F.lit(0))
     return x.select("__text", *[(g == k).cast("double").alias(f"w{k}") for k in LEVELS])
 
 
-def train(texts: DataFrame) -> dict[str, tuple[float, ...]]:
-    """Word -> log-probability per level; '' holds that of a word outside the vocabulary."""
+def train(texts: DataFrame) -> Unigram:
     sums = [F.sum(f"w{g}").alias(f"c{g}") for g in LEVELS]
-    counts = texts.select(F.explode(_words(F.col("__text"))).alias("word"), *[f"w{g}" for g in LEVELS]).groupBy("word").agg(*sums)
-    rows = counts.orderBy(sum((F.col(f"c{g}") for g in LEVELS), F.lit(0)).desc(), "word").limit(VOCABULARY).collect()
-    totals = [sum(r[f"c{g}"] for r in rows) + SMOOTHING * (len(rows) + 1) for g in LEVELS]
-    model = {r["word"]: tuple(math.log((r[f"c{g}"] + SMOOTHING) / t) for g, t in zip(LEVELS, totals)) for r in rows}
-    return model | {"": tuple(math.log(SMOOTHING / t) for t in totals)} if rows else {}
-
-
-def posterior(text: str, model: dict[str, tuple[float, ...]]) -> list[float]:
-    """Mean over the text's pieces of the posterior of each level; empty without words."""
-    total, n, unseen = [0.0] * len(LEVELS), 0, model[""]
-    for piece in pieces(text):
-        found = [model.get(w, unseen) for w in piece]
-        s = [sum(col) for col in zip(*found)]
-        top = max(s)
-        e = [math.exp(x - top) for x in s]
-        z = sum(e)
-        total, n = [a + b / z for a, b in zip(total, e)], n + 1
-    return [x / n for x in total] if n else []
+    counts = texts.select(F.explode(words_of(F.col("__text"))).alias("word"), *[f"w{g}" for g in LEVELS]).groupBy("word").agg(*sums)
+    return Unigram(counts, [f"c{g}" for g in LEVELS])
+
+
+def posteriors(texts: list[str | None], model: Unigram) -> np.ndarray:
+    """Mean over each text's pieces of the posterior of each level; NaN without words."""
+    scores, owner, _ = model.scores(texts, lambda t: SENTENCE.sub(" | ", t), PIECE, LEAST)
+    total = np.zeros((len(texts), len(LEVELS)))
+    np.add.at(total, owner, softmax(scores) if len(scores) else scores)
+    n = np.bincount(owner, minlength=len(texts))[:, None]
+    return np.divide(total, n, out=np.full_like(total, np.nan), where=n > 0)
 
 
 def assess(documents: DataFrame, labels: DataFrame, key: str, text: str, level: str) -> DataFrame:
@@ -111,13 +83,11 @@ def assess(documents: DataFrame, labels: DataFrame, key: str, text: str, level:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for k, t in zip(pdf["k"], pdf["t"]):
-                p = posterior(t, model) if t and model else []
-                best = max(range(len(p)), key=lambda g: (p[g], -g)) + 1 if p else None
-                rows.append((k, best, sum((g + 1) * x for g, x in enumerate(p)) if p else None, len(t.split()) if t else 0))
-            out = pd.DataFrame(rows, columns=["k", "nivel", "esperado", "palavras"])
-            yield out.astype({"nivel": "Int32", "esperado": "float64"})
+            texts = pdf["t"].tolist()
+            p = posteriors(texts, model) if model else np.full((len(texts), len(LEVELS)), np.nan)
+            best = np.where(np.isnan(p[:, 0]), np.nan, np.argmax(np.nan_to_num(p), axis=1) + 1)
+            out = pd.DataFrame({"k": pdf["k"], "nivel": best, "esperado": p @ np.array(LEVELS, dtype=float), "palavras": [len(t.split()) if t else 0 for t in texts]})
+            yield out.astype({"nivel": "Int32"})
 
     scored = documents.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, f"k {kind}, nivel int, esperado double, palavras int")
     return scored.withColumnRenamed("k", key)

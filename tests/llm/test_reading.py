@@ -1,4 +1,9 @@
+import math
+
+from pyspark.sql import functions as F
+
 from sufragio.llm import reading as R
+from sufragio.llm import unigram as U
 
 EASY, NEWS, SCHOOL, LAW = "O gato viu a urna. A moça leu o nome.", "O prefeito falou sobre a rua. O ônibus passou cedo.", "A legislação determina que as contas sejam apresentadas. Analistas observam a bancada.", "Outrossim, o acervo probatório prescinde de dilação. Destarte, a preclusão consumativa subsume-se."
 TEXTS = [EASY, NEWS, SCHOOL, LAW]
@@ -32,9 +37,31 @@ def test_formula_seeds_and_empty(spark):
 
 
 def test_python_and_spark_words_agree(spark):
-    text = "Ação nº 12.345: «Órgão» – é ÇÃO? x1y2"
-    got = spark.createDataFrame([(text,)], "t string").select(R._words(__import__("pyspark").sql.functions.col("t"))).first()[0]
-    assert got == R.words(text)
+    text = "Ação nº 12.345: «Órgão» – é ÇÃO? x1y2 | # fim"
+    got = spark.createDataFrame([(text,)], "t string").select(U.words_of(F.col("t"))).first()[0]
+    assert got == U.words(text) and "#" in got
+
+
+def test_scores_equal_brute_force(spark):
+    """Posteriors of pieces, in chunks of any size, against plain arithmetic."""
+    rows = [("urna", 3.0, 1.0, 0.0, 0.0), ("voto", 1.0, 2.0, 4.0, 0.0), ("#", 0.0, 1.0, 1.0, 1.0)]
+    model = U.Unigram(spark.createDataFrame(rows, "word string, c1 double, c2 double, c3 double, c4 double"), ["c1", "c2", "c3", "c4"])
+    text = "Urna urna voto. Sim. Voto 12 urna nova! " + "voto " * 95 + "Fim."
+    pieces = [["urna", "urna", "voto"], ["sim", "voto", "#", "urna", "nova"]]
+    long = ["voto"] * 95 + ["fim"]  # three even parts
+    pieces += [long[i * 96 // 3 : (i + 1) * 96 // 3] for i in range(3)]
+    counts = {w: c for w, *c in rows}
+    totals = [sum(r[g + 1] for r in rows) + 0.1 * 4 for g in range(4)]
+    want = [0.0] * 4
+    for piece in pieces:
+        s = [sum(math.log((counts.get(w, [0] * 4)[g] + 0.1) / totals[g]) for w in piece) for g in range(4)]
+        e = [math.exp(x - max(s)) for x in s]
+        want = [a + x / sum(e) / len(pieces) for a, x in zip(want, e)]
+    for chunk in (1, 1000):
+        U.CHUNK, old = chunk, U.CHUNK
+        got = R.posteriors([None, text, "...", text], model)
+        U.CHUNK = old
+        assert abs(got[1] - want).max() < 1e-12 and abs(got[3] - want).max() < 1e-12 and math.isnan(got[0][0]) and math.isnan(got[2][0])
 
 
 def test_held_out_accuracy(spark):
@@ -50,5 +77,5 @@ def test_held_out_accuracy(spark):
     seen = {r[0] for r in texts.select("__text").collect()}
     held = held[~held.text.isin(seen) & held.text.notna()]
     model = R.train(texts)
-    guess = pd.Series([max(range(4), key=lambda g, p=R.posterior(t, model): p[g]) + 1 for t in held.text], index=held.index)
+    guess = pd.Series(R.posteriors(held.text.tolist(), model).argmax(axis=1) + 1, index=held.index)
     assert len(held) > 50 and (guess == held.nivel).mean() > 0.85 and ((guess == 4) == (held.nivel == 4)).mean() > 0.93
