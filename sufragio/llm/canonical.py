@@ -1,15 +1,21 @@
 """Map freely typed values to the entries of a canonical list.
 
 Values are normalised (case, accents, blanks, office prefixes, a trailing state, abbreviations,
-particles) and spelt by sound, then taken once per distinct key and scope. Keys that equal one
-entry's key are settled at once. For the rest an inverted index from character bigrams and
-trigrams to the scope's entries yields every entry that shares a gram; the cosine of the
-inverse-document-frequency weighted grams ranks them, the best few are also compared by edit
-distance, and the mean of both must reach a threshold and lead the runner-up by a margin.
-
-Scale: rows shrink to distinct keys before anything is exploded; postings are the list's. The
-dictionary of results goes back to the rows by broadcast only if its measured size allows, else
-by a join salted over SALTS, as one key may stand in a third of all rows.
+particles) and spelt by sound, then taken once per distinct key and scope. Keys and entries are
+vectors of their character n-grams (single letters, bigrams, trigrams, and both of the latter with
+their letters in order, which a transposition leaves alone; a gram's second occurrence is a gram of
+its own), weighted by the root of the inverse document frequency in the list. An inverted index of
+the scope's entries yields the candidates of every key, also of those that are spelt as an entry
+is: only the rarest grams of either side are indexed, as many as it takes for the rest to have a
+norm below THRESHOLD - MARGIN. Two vectors whose rarest common gram lies in that rest cannot have a
+cosine of THRESHOLD - MARGIN, so no pair that matters is missed. The best cosine must reach
+THRESHOLD. If others lie within MARGIN of it, the one of strictly the smallest edit distance is
+meant, else none; and at least EDIT of its letters must stand.
+
+Scale: rows shrink to distinct keys before anything is exploded; postings are the list's; only
+candidates are scored, from sorted arrays of numbered grams. The dictionary of results goes back to
+the rows by broadcast only if its measured size allows, else by a join salted over SALTS, as one
+key may stand in a third of all rows.
 
 Defined cases: null and blank texts mean nothing; a row whose texts mean nothing, whose scope is
 unknown or whose best entries are too close gets no entry (null from match(), '0' in p5_found);
@@ -20,13 +26,19 @@ and match neither; an empty list matches nothing; very long texts are compared w
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sufragio.functions.text import ACCENTED, PLAIN
 from sufragio.session import materialize, measured
 
-THRESHOLD, MARGIN, RESCORED, SALTS = 0.5, 0.02, 4, 16
+THRESHOLD, MARGIN, EDIT, SALTS = 0.5, 0.03, 0.55, 16
+#: Weight of a gram that no entry has, as a share of that of one which a single entry has.
+UNSEEN = 0.8
+#: A gram's number holds its squared weight, in millionths, above this many bits.
+BITS, MILLION = 36, 1_000_000
 # Abbreviations in Brazilian place names and what they stand for.
 ABBREVIATIONS = {
     "S": "SAO", "STA": "SANTA", "STO": "SANTO", "PRES": "PRESIDENTE", "PTE": "PRESIDENTE", "SEN": "SENADOR", "MAL": "MARECHAL", "CEL": "CORONEL",
@@ -71,47 +83,60 @@ def sound_key(text: Column, states: list[str]) -> Column:
 def grams(key: Column) -> Column:
     s = F.concat(F.lit("^"), key, F.lit("$"))
     run = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - (n - 1), F.lit(1))), lambda i: F.substring(s, i, F.lit(n)))
-    return F.concat(run(2), run(3))
+    same = lambda n: F.transform(run(n), lambda g: F.concat(F.lit(f"{n}:"), F.array_join(F.array_sort(F.split(g, "")), "")))
+    return F.concat(run(1), run(2), run(3), same(2), same(3))
+
+
+def _counted(keys: DataFrame, by: list[str]) -> DataFrame:
+    """by, gram: a row per gram of each key; the n-th occurrence of a gram has its number."""
+    each = keys.select(*by, F.explode(grams(F.col("key"))).alias("gram")).groupBy(*by, "gram").agg(F.count(F.lit(1)).alias("n"))
+    return each.select(*by, F.explode(F.transform(F.sequence(F.lit(1).cast("bigint"), "n"), lambda i: F.when(i == 1, F.col("gram")).otherwise(F.concat("gram", F.lit("#"), i.cast("string"))))).alias("gram"))
+
+
+def _numbers(listed: DataFrame, total: int) -> DataFrame:
+    """gram and id of the list's grams. Ids are ordered by weight, so the rarest gram has the
+    largest; grams of one weight are numbered, a window over grams of the list only."""
+    weight = F.round(F.log(1 + F.lit(float(total)) / (1 + F.col("n"))) * MILLION).cast("bigint")
+    of = listed.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).select("gram", weight.alias("w"))
+    return of.select("gram", (F.shiftleft("w", BITS) + F.row_number().over(Window.partitionBy("w").orderBy("gram"))).alias("id"))
+
+
+def _weight(ids: Column) -> Column:
+    return F.aggregate(ids, F.lit(0).cast("bigint"), lambda a, x: a + F.shiftright(x, BITS))
 
 
-def _weighted(keys: DataFrame, by: list[str]) -> DataFrame:
-    """by, gram, tf: one row per distinct gram of each key."""
-    return keys.select(*by, F.explode(grams(F.col("key"))).alias("gram")).groupBy(*by, "gram").agg((1 + F.log(F.count(F.lit(1)))).alias("tf"))
+def _prefix(ids: Column, norm: Column, bound: float) -> Column:
+    """The ids, rarest first, without as many of the last ones as have a norm below the bound."""
+    start = F.struct(F.lit(0).cast("bigint").alias("sum"), F.lit(0).alias("n"))
+    step = lambda a, x: F.struct((a["sum"] + F.shiftright(x, BITS)).alias("sum"), (a["n"] + F.when(a["sum"] + F.shiftright(x, BITS) < bound * bound * norm, 1).otherwise(0)).alias("n"))
+    rest = F.aggregate(F.array_sort(ids), start, step)["n"]
+    return F.slice(F.sort_array(ids, False), F.lit(1), F.size(ids) - rest)
 
 
-def match_keys(keys: DataFrame, entries: DataFrame, threshold: float = THRESHOLD, margin: float = MARGIN) -> DataFrame:
+def match_keys(keys: DataFrame, entries: DataFrame, threshold: float = THRESHOLD, margin: float = MARGIN, edit: float = EDIT) -> DataFrame:
     """keys: distinct (scope, key); entries: (scope, key, entry). Gives scope, key, entry, score
-    for the keys that mean an entry."""
-    unique = entries.groupBy("scope", "key").agg(F.min("entry").alias("entry"), F.count(F.lit(1)).alias("n")).filter("n = 1").drop("n")
-    exact = keys.join(unique, ["scope", "key"]).select("scope", "key", "entry", F.lit(1.0).alias("score"))
-    rest = keys.join(unique, ["scope", "key"], "left_anti").join(entries.select("scope").distinct(), "scope", "left_semi")
-
-    total = entries.count()
-    of_list = _weighted(entries, ["scope", "key", "entry"])
-    idf = of_list.groupBy("gram").agg(F.log(1 + F.lit(float(total)) / (1 + F.count(F.lit(1)))).alias("idf"))
-    unseen = F.log(1 + F.lit(float(total)))
-    whole = Window.partitionBy("scope", "entry")
-    postings = of_list.join(idf, "gram").withColumn("w", F.col("tf") * F.col("idf"))
-    postings = postings.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(whole)))
-    postings = postings.select("scope", "gram", "entry", F.col("key").alias("entry_key"), F.col("w").alias("wl"))
-    postings, _ = measured(materialize(postings, "postings"))
-    idf, _ = measured(materialize(idf, "gram-weights"))
-
-    typed = _weighted(rest, ["scope", "key"]).join(idf, "gram", "left").withColumn("w", F.col("tf") * F.coalesce("idf", unseen))
-    typed = typed.withColumn("norm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("scope", "key"))))
-    cosine = (
-        typed.join(postings, ["scope", "gram"])
-        .groupBy("scope", "key", "entry", "entry_key")
-        .agg((F.sum(F.col("w") * F.col("wl")) / F.first("norm")).alias("cosine"))
-    )
-    order = Window.partitionBy("scope", "key").orderBy(F.col("cosine").desc(), "entry")
-    close = cosine.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= RESCORED)
-    edit = 1 - F.levenshtein("key", "entry_key") / F.greatest(F.length("key"), F.length("entry_key"))
-    close = close.withColumn("score", (F.col("cosine") + edit) / 2)
-    order = Window.partitionBy("scope", "key").orderBy(F.col("score").desc(), "entry")
-    close = close.withColumn("lead", F.col("score") - F.coalesce(F.lead("score").over(order), F.lit(0.0))).withColumn("r", F.row_number().over(order))
-    fuzzy = close.filter((F.col("r") == 1) & (F.col("score") >= threshold) & (F.col("lead") >= margin)).select("scope", "key", "entry", "score")
-    return exact.unionByName(fuzzy)
+    (the cosine) for the keys that mean an entry."""
+    total, bound = entries.count(), max(threshold - margin, 0.0)
+    listed = _counted(entries, ["scope", "key", "entry"])
+    numbers, _ = measured(materialize(_numbers(listed, total), "gram-numbers"))
+    listed = listed.join(numbers, "gram").groupBy("scope", "entry", F.col("key").alias("entry_key")).agg(F.collect_list("id").alias("e"))
+    listed = materialize(listed.withColumn("en", _weight(F.col("e"))), "entry-vectors")
+    inside = keys.join(F.broadcast(entries.select("scope").distinct()), "scope", "left_semi")  # at most the parts of the list
+    unseen = int(UNSEEN * UNSEEN * math.log(1 + total) * MILLION)
+    typed = _counted(inside, ["scope", "key"]).join(numbers, "gram", "left").groupBy("scope", "key").agg(F.collect_list("id").alias("q"), F.count_if(F.col("id").isNull()).alias("new"))
+    typed = materialize(typed.withColumn("qn", _weight(F.col("q")) + F.col("new") * unseen).filter("size(q) > 0"), "key-vectors")
+
+    index = listed.select("scope", "entry", F.explode(_prefix(F.col("e"), F.col("en"), bound)).alias("id"))
+    asked = typed.select("scope", "key", F.explode(_prefix(F.col("q"), F.col("qn"), bound)).alias("id"))
+    pairs = asked.join(index, ["scope", "id"]).select("scope", "key", "entry").distinct()
+    cosine = _weight(F.array_intersect("q", "e")) / F.sqrt(F.col("qn").cast("double") * F.col("en"))
+    scored = pairs.join(typed, ["scope", "key"]).join(listed, ["scope", "entry"]).select("scope", "key", "entry", "entry_key", cosine.alias("score")).filter(F.col("score") >= bound)
+    whole = Window.partitionBy("scope", "key")
+    near = scored.withColumn("best", F.max("score").over(whole)).filter((F.col("best") >= threshold) & (F.col("score") > F.col("best") - margin))
+    near = near.withColumn("away", F.levenshtein("key", "entry_key"))
+    least = near.withColumn("least", F.min("away").over(whole)).filter("away = least").withColumn("n", F.count(F.lit(1)).over(whole))
+    stand = 1 - F.col("away") / F.greatest(F.length("key"), F.length("entry_key"))
+    return least.filter((F.col("n") == 1) & (stand >= edit)).select("scope", "key", "entry", "score")
 
 
 def _with_keys(rows: DataFrame, scope: Column, texts: list[str], states: list[str]) -> DataFrame:

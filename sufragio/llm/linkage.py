@@ -130,9 +130,13 @@ def birth_date(c: Column) -> Column:
     return F.when(usable, ymd.substr(3, 6))
 
 
-def encode(df: DataFrame, name: str, date: str, number: str, keep: list[str]) -> DataFrame:
-    """keep, the normalised attributes and their bit vectors."""
-    x = df.select(*keep, folded(F.col(name)).alias("name"), tokens(F.col(name)).alias("words"), birth_date(F.col(date)).alias("date"), person_number(F.col(number)).alias("cpf"))
+def normalised(df: DataFrame, name: str, date: str, number: str, keep: list[str]) -> DataFrame:
+    return df.select(*keep, folded(F.col(name)).alias("name"), birth_date(F.col(date)).alias("date"), person_number(F.col(number)).alias("cpf"))
+
+
+def encode(df: DataFrame, keep: list[str]) -> DataFrame:
+    """keep, the normalised attributes (name, date, cpf) and their bit vectors."""
+    x = df.select(*keep, "name", tokens(F.col("name")).alias("words"), "date", "cpf")
     rest = F.slice("words", F.lit(2), F.greatest(F.size("words") - 1, F.lit(0)))
     family = F.filter(rest, lambda w: ~w.isin(*SUFFIXES, "GUNIOR") & (F.length(w) > 1))
     md = F.concat(F.least(F.col("date").substr(3, 2), F.col("date").substr(5, 2)), F.greatest(F.col("date").substr(3, 2), F.col("date").substr(5, 2)))
@@ -268,17 +272,18 @@ def confidences(cells: dict[int, float], sizes: dict[str, float]) -> dict[int, f
 
 def link(left: DataFrame, right: DataFrame, left_id: str, right_id: str, name: str, date: str, number: str, cut: float = CUT) -> DataFrame:
     """left_id, right_id, confidence for the pairs of records of the same person."""
-    who = ["name", "date", "cpf"]
-    l_all = encode(left, name, date, number, [left_id])
-    r_all = encode(right, name, date, number, [right_id])
-    l_id = F.xxhash64(*[F.coalesce(c, F.lit("-")) for c in who])
     # candidacies with one folded name and date are one person, whatever they say of the number
+    l_id = F.xxhash64(*[F.coalesce(c, F.lit("-")) for c in ("name", "date", "cpf")])
     r_id = F.when(F.col("date").isNotNull(), F.xxhash64("name", "date")).otherwise(F.xxhash64("name", F.coalesce("cpf", F.lit("-"))))
-    l_all, r_all = l_all.filter("name <> ''").withColumn("id", l_id), r_all.filter("name <> ''").withColumn("id", r_id)
-    lefts = materialize(l_all.drop(left_id, "name").dropDuplicates(["id"]), "left-identities")
-    numbers = r_all.groupBy("id", "cpf").agg(F.count(F.lit(1)).alias("n")).groupBy("id").agg(F.max(F.struct(F.col("cpf").isNotNull(), "n", "cpf"))["cpf"].alias("cpf"))
-    rights = r_all.drop(right_id, "name", "cpf", "bc0", "bc1").dropDuplicates(["id"]).join(numbers, "id")
-    rights = materialize(rights.withColumn("bc0", _positions(F.col("cpf"), 1, 6)).withColumn("bc1", _positions(F.col("cpf"), 7, 11)), "right-identities")
+    l_all = normalised(left, name, date, number, [left_id]).filter("name <> ''").withColumn("id", l_id)
+    r_all = normalised(right, name, date, number, [right_id]).filter("name <> ''").withColumn("id", r_id)
+    # identities first, vectors once each; a person's number is its most frequent one
+    lefts = l_all.groupBy("id", "name", "date", "cpf").agg(F.count(F.lit(1)).alias("n"))
+    rights = r_all.groupBy("id", "name", "date", "cpf").agg(F.count(F.lit(1)).alias("n"))
+    usual = F.max(F.struct(F.col("cpf").isNotNull(), "n", "cpf"))["cpf"].alias("cpf")
+    rights = rights.groupBy("id", "name", "date").agg(usual)
+    lefts = materialize(encode(lefts, ["id"]).drop("name"), "left-identities")
+    rights = materialize(encode(rights, ["id"]).drop("name"), "right-identities")
     index = lambda x, s: x.select(F.col("id").alias(f"{s}_id"), F.explode(_keys()).alias("key"))
     met = index(lefts, "l").join(index(rights, "r"), "key").select("l_id", "r_id").distinct()
 

@@ -42,8 +42,9 @@ def labelled(documents: DataFrame, labels: DataFrame, key: str, text: str, level
     weight = labels.filter(F.col(level).isin(*LEVELS)).groupBy(F.col(key).alias("__key")).agg(*[F.count_if(F.col(level) == g).alias(f"l{g}") for g in LEVELS])
     weight = sampled(weight, "__key", MAX_LABELLED)
     total = sum((F.col(f"l{g}") for g in LEVELS), F.lit(0))
-    texts = documents.select(F.col(key).alias("__key"), F.col(text).alias("__text")).dropna().dropDuplicates(["__key"])
-    return texts.join(weight, "__key").select("__text", *[(F.col(f"l{g}") / total).alias(f"w{g}") for g in LEVELS])
+    # the labelled keys are bounded; only texts that have one are moved
+    texts = documents.select(F.col(key).alias("__key"), F.col(text).alias("__text")).dropna().join(F.broadcast(weight), "__key").dropDuplicates(["__key"])
+    return texts.select("__text", *[(F.col(f"l{g}") / total).alias(f"w{g}") for g in LEVELS])
 
 
 def seeded(documents: DataFrame, text: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import math
 import re
 from collections.abc import Callable, Sequence
@@ -15,14 +16,20 @@ from sufragio.functions.text import ACCENTED, PLAIN
 SMOOTHING = 0.1
 #: Words scored at once.
 CHUNK = 400_000
-FOLD = str.maketrans(ACCENTED + "#|", PLAIN + "  ")
+#: Folding of Latin-1 as bytes, many times faster than of text; any other character is no letter.
+FOLD = bytes.maketrans((ACCENTED + "#|").encode("latin-1"), (PLAIN + "  ").encode("latin-1"))
+codecs.register_error("no letter", lambda e: ("\x7f" * (e.end - e.start), e.end))
 DIGITS = re.compile("[0-9]+")
 TOKEN = re.compile("[a-z]+|[#|]")
 
 
+def folded(text: str) -> str:
+    """Small letters without accents; any number is '#'."""
+    return DIGITS.sub("#", text.lower().encode("latin-1", "no letter").translate(FOLD).decode("latin-1"))
+
+
 def words(text: str) -> list[str]:
-    """Lower-case words without accents; any number is '#'."""
-    return TOKEN.findall(DIGITS.sub("#", text.translate(FOLD).lower()))
+    return TOKEN.findall(folded(text))
 
 
 def words_of(text: Column) -> Column:
@@ -69,7 +76,7 @@ class Unigram:
         for k, text in enumerate(texts):
             if not text:
                 continue
-            at = np.array([get(w, unseen) for w in TOKEN.findall(cut(DIGITS.sub("#", text.translate(FOLD).lower())))], dtype=np.int64)
+            at = np.array([get(w, unseen) for w in TOKEN.findall(cut(folded(text)))], dtype=np.int64)
             breaks = np.flatnonzero(at < 0)
             lengths = (np.diff(np.r_[-1, breaks, len(at)]) - 1).tolist()
             at = at[at >= 0]

@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter
 
 from sufragio.llm import canonical as C
@@ -39,19 +40,29 @@ def test_empty_list_rows_and_ambiguous_entries(spark):
     assert match(spark, [("SP", "IGUAL", None)], [("1", "SP", "IGUAL"), ("2", "SP", "Igual")]) == {0: None}
 
 
-def test_cosine_equals_brute_force(spark):
-    rows, listed = tables(spark)
-    entries = [("SP", "abcde", "1"), ("SP", "abxyz", "2"), ("SP", "zzzzz", "3")]
-    df = spark.createDataFrame(entries, "scope string, key string, entry string")
-    got = {(r["entry"]) : r["score"] for r in C.match_keys(spark.createDataFrame([("SP", "abcdx")], "scope string, key string"), df, 0.0, 0.0).collect()}
-
-    def grams(k):
-        s = f"^{k}$"
-        return Counter(s[i : i + n] for n in (2, 3) for i in range(len(s) - n + 1))
-
-    df_ = Counter(g for _, k, _ in entries for g in grams(k))
-    idf = lambda g: math.log(1 + 3 / (1 + df_[g])) if df_[g] else math.log(1 + 3)
-    vec = lambda k: {g: (1 + math.log(n)) * idf(g) for g, n in grams(k).items()}
-    q, r = vec("abcdx"), vec("abcde")
-    cos = sum(q[g] * r[g] for g in q if g in r) / math.sqrt(sum(x * x for x in q.values()) * sum(x * x for x in r.values()))
-    assert set(got) == {"1"} and abs(got["1"] - (cos + 0.8) / 2) < 1e-9
+def grams(k):
+    s = f"^{k}$"
+    found = Counter(s[i : i + n] for n in (1, 2, 3) for i in range(len(s) - n + 1))
+    found += Counter(f"{n}:" + "".join(sorted(s[i : i + n])) for n in (2, 3) for i in range(len(s) - n + 1))
+    return {(g, i) for g, n in found.items() for i in range(n)}
+
+
+def test_index_loses_no_candidate_and_cosine_equals_brute_force(spark):
+    """Random keys of few letters: the best entry by brute force over all pairs."""
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("ABCDE") for _ in range(r.randint(3, 9)))
+    entries = [("SP", k, str(i)) for i, k in enumerate({word() for _ in range(60)})]
+    keys = sorted({word() for _ in range(80)} | {k[1:] for _, k, _ in entries[:20]} | {k for _, k, _ in entries[:10]})
+    df = Counter(g for _, k, _ in entries for g in grams(k))
+    n = len(entries)
+    w = lambda g: math.log(1 + n / (1 + df[g])) if g in df else C.UNSEEN**2 * math.log(1 + n)
+    norm = lambda k: sum(w(g) for g in grams(k))
+    cos = lambda a, b: sum(w(g) for g in grams(a) & grams(b)) / math.sqrt(norm(a) * norm(b))
+    got = C.match_keys(spark.createDataFrame([("SP", k) for k in keys], "scope string, key string"), spark.createDataFrame(entries, "scope string, key string, entry string"), 0.6, 0.0001, 0.0).collect()
+    got = {x["key"]: (x["entry"], x["score"]) for x in got}
+    for k in keys:
+        scores = sorted(((cos(k, e), i) for _, e, i in entries), reverse=True)
+        if scores[0][0] > 0.601 and scores[0][0] - scores[1][0] > 0.001:
+            assert got[k][0] == scores[0][1] and abs(got[k][1] - scores[0][0]) < 1e-4
+        elif scores[0][0] < 0.599:
+            assert k not in got

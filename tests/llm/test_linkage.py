@@ -103,7 +103,7 @@ def test_every_pair_within_the_radius_meets(spark):
         return "".join(name), r.choice([f"{d}/{m}/{y}", f"{m}/{d}/{y}", None]), r.choice(["".join(number), None])
 
     rows = [(i, *(damaged(*base) if i else base)) for i in range(160)]
-    x = L.encode(spark.createDataFrame(rows, "i bigint, n string, d string, c string"), "n", "d", "c", ["i"])
+    x = L.encode(L.normalised(spark.createDataFrame(rows, "i bigint, n string, d string, c string"), "n", "d", "c", ["i"]), ["i"])
     x = x.select("i", "cpf", "date", "md", "bf", "bw", L._keys().alias("k")).collect()
     for a in x[:40]:
         for b in x:
@@ -114,7 +114,7 @@ def test_errors_in_first_and_last_name(spark):
     """Equal dates, no number on one side, one wrong letter in the first and in the last name."""
     old = [(1, "FERNANDO LIMEIRA GUTERRES PALMEIRAM", "14/09/1961", None, set())]
     new = [(7, "FERNANDA LIMEIRA GUTERRES PALMEIRIM", "14/09/1961", "48291730564")]
-    e = lambda rows, s: L.encode(spark.createDataFrame([r[:4] for r in rows], "id bigint, n string, d string, c string"), "n", "d", "c", ["id"])
+    e = lambda rows, s: L.encode(L.normalised(spark.createDataFrame([r[:4] for r in rows], "id bigint, n string, d string, c string"), "n", "d", "c", ["id"]), ["id"])
     keys = [set(e(x, "").select(L._keys()).first()[0]) for x in (old, new)]
     assert keys[0] & keys[1]
 
