@@ -5,7 +5,8 @@ gathered per distinct word: each word with a character outside ASCII (or a quest
 taken back through every chain, and both forms are scored by a model of clean words, which mixes
 word frequencies over all rows with character trigrams. A value's words are pooled, and
 expectation-maximization estimates how often each chain occurs per source and field, so that
-weak evidence in one value is weighed by what its source does. The posterior then decides each
+weak evidence in one value is weighed by what its source does; it runs until no rate moves by more
+than STILL. Every chain that changes a word stays a hypothesis. The posterior then decides each
 value, and its words are replaced where the chain's form is the likelier one.
 
 Scale: only distinct values and distinct words are scored; the trigram model has at most
@@ -36,8 +37,10 @@ ALPHABET = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789.,;:'’\"()/-_&?ªº#
 REFILL = "ÃÇÍÉÁÕÚÊÔÓÂÜÏÑ’"
 LOST = "�"
 WORD_BREAK = "[ \\t\\r\\n]+"
-MIX, APPLIED, ROUNDS, SALTS = 0.7, 0.9, 4, 16
+MIX, APPLIED, SALTS = 0.7, 0.9, 16
 PRIOR, STRENGTH = 0.002, 50.0
+#: The rates have converged when no expected share of a chain moves by more.
+STILL = 1e-5
 
 
 def _tables() -> dict[str, dict[str, list[int]]]:
@@ -124,10 +127,7 @@ def restored(word: str) -> dict[str, str]:
     out: dict[str, str] = {}
     for group, table in TABLES.items():
         now = word
-        for _ in range(4):
-            back = _utf8(now, table)
-            if back == now:
-                break
+        while (back := _utf8(now, table)) != now:  # ends: every change shortens the word
             now = back
         if now != word:
             out[f"utf8>{group}"] = now.upper()
@@ -159,15 +159,30 @@ class WordModel:
         return sum(self.step(s[i - 2], s[i - 1], s[i]) for i in range(2, len(s)))
 
     def refill(self, word: str) -> tuple[str, float]:
-        """The likeliest letters in place of the lost ones (a beam of 8); one mark or two a letter."""
-        best = (word, -1e9)
+        """The likeliest letters in place of the lost ones; one mark or two a letter. Exact: for each
+        last two letters, which are all that counts further on, the best way there is kept."""
+        best = (word, -math.inf)
         for form in dict.fromkeys((word, word.replace("??", "?"))):
-            beam = [(0.0, "^^", "")]
+            ways: dict[str, float] = {"^^": 0.0}
+            steps: list[dict[str, tuple[str, str]]] = []
             for ch in form + "$":
-                options = REFILL if ch == "?" else ch
-                beam = sorted(((p + self.step(s[-2], s[-1], c if c in ALPHABET else "¤"), s[-1] + (c if c in ALPHABET else "¤"), t + c) for p, s, t in beam for c in options), reverse=True)[:8]
-            if beam and beam[0][0] > best[1]:
-                best = (beam[0][2][:-1], beam[0][0])
+                reached: dict[str, float] = {}
+                back: dict[str, tuple[str, str]] = {}
+                for c in REFILL if ch == "?" else ch:
+                    shown = c if c in ALPHABET else "¤"
+                    for last, p in ways.items():
+                        q, to = p + self.step(last[0], last[1], shown), last[1] + shown
+                        if q > reached.get(to, -math.inf):
+                            reached[to], back[to] = q, (last, c)
+                ways = reached
+                steps.append(back)
+            at = max(ways, key=lambda w: ways[w])
+            if ways[at] > best[1]:
+                score, letters = ways[at], []
+                for back in reversed(steps):
+                    at, c = back[at]
+                    letters.append(c)
+                best = ("".join(reversed(letters))[:-1], score)
         return best
 
 
@@ -234,7 +249,7 @@ def damaged_values(values: DataFrame) -> DataFrame:
     # no clean word has a replacement character
     more = F.when(F.contains("word", F.lit(LOST)) & (F.col("chain") == "lost"), F.lit(20.0)).otherwise(more)
     gain = hyp.select("word", "chain", "fixed", F.log((1 - APPLIED) + APPLIED * F.exp(F.least(more, F.lit(500.0)))).alias("gain"), (more > 0).alias("use"))
-    gain = materialize(gain.filter("gain > -2.3"), "word-gains")
+    gain = materialize(gain, "word-gains")
 
     odd_values = values.filter(odd("value")).withColumn("id", F.xxhash64("source", "field", "value"))
     parts = odd_values.select("source", "field", "value", "n", F.explode(F.split("value", WORD_BREAK)).alias("word"))
@@ -245,12 +260,18 @@ def damaged_values(values: DataFrame) -> DataFrame:
     rows = values.groupBy("source", "field").agg(F.sum("n").alias("all"))
     start = F.map_from_arrays(F.array(*[F.lit(c) for c in CHAINS]), F.array(*[F.lit(PRIOR)] * len(CHAINS)))
     rates = materialize(rows.withColumn("rate", start), "rates")
-    for _ in range(ROUNDS):
+    every = rows.withColumn("chain", F.explode(F.array(*[F.lit(c) for c in CHAINS])))
+    while True:  # the likelihood rises with every round and is bounded
         expected = _posterior(scored, rates).select("source", "field", "n", F.explode("post").alias("p")).groupBy("source", "field", "p.chain").agg(F.sum(F.col("n") * F.col("p.p")).alias("e"))
         share = (F.coalesce("e", F.lit(0.0)) + STRENGTH * PRIOR) / (F.col("all") + STRENGTH)
-        every = rows.withColumn("chain", F.explode(F.array(*[F.lit(c) for c in CHAINS])))
-        rates = every.join(expected, ["source", "field", "chain"], "left").withColumn("share", share)
-        rates = materialize(rates.groupBy("source", "field", "all").agg(F.map_from_entries(F.collect_list(F.struct("chain", "share"))).alias("rate")), "rates")
+        new = every.join(expected, ["source", "field", "chain"], "left").withColumn("share", share)
+        new = new.groupBy("source", "field", "all").agg(F.map_from_entries(F.collect_list(F.struct("chain", "share"))).alias("rate"))
+        new = new.join(rates.select("source", "field", F.col("rate").alias("old")), ["source", "field"])
+        moved = F.array_max(F.transform(F.array(*[F.lit(c) for c in CHAINS]), lambda c: F.abs(F.element_at("rate", c) - F.element_at("old", c))))
+        rates = materialize(new.withColumn("moved", moved).drop("old"), "rates")
+        if (rates.agg(F.max("moved")).first()[0] or 0.0) <= STILL:
+            break
+        rates = rates.drop("moved")
     top = F.array_max(F.transform("post", lambda p: F.struct(p["p"].alias("p"), p["chain"].alias("chain"))))
     whole = F.aggregate("post", F.lit(0.0), lambda a, p: a + p["p"])
     judged = _posterior(scored, rates).withColumn("confidence", whole).filter("confidence > 0.5").select("source", "field", "value", "confidence", top["chain"].alias("chain"))

@@ -6,8 +6,10 @@ by falling size, then swap-based local search. The search takes the emptiest con
 and moves items, exchanges one for one, two for one or one for two with the other underfull
 containers whenever that raises the sum of squared fills, so donors drain until they are empty;
 it ends when no exchange helps or the containers are as few as the total size allows. Containers
-left under REOPEN of the capacity are opened again and their items, now few, packed together in
-the next round, until one shard is left or a round no longer halves what is open. No task holds more than a few times SHARD items.
+left under REOPEN of the capacity are opened again and their items dealt anew, until one shard is
+left or a round neither closes a container nor lowers the number of open ones. Each round deals its
+shards to as many partitions as there are tasks, by shard, so that none is joined with others for
+being few bytes; no task holds more than a few times SHARD items.
 
 Defined cases: items without size go nowhere; equal sizes are ordered by key; repeated keys are
 separate items; an empty table gives no containers; a capacity below 1 is an error.
@@ -152,26 +154,49 @@ def pack(items: DataFrame, key: str, size: str, capacity: int) -> DataFrame:
 
         return run
 
+    spark = items.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     done, rounds, before = [], 0, None
     while True:
-        count = open_items.count()
-        shards = max(1, -(-count // SHARD))
+        shards = max(1, -(-open_items.count() // SHARD))
         shard = F.pmod(F.xxhash64(F.lit(rounds), F.col(key), F.col("inicio")), F.lit(shards))
-        packed = open_items.withColumn("shard", shard).groupBy("shard").applyInPandas(packer(f"r{rounds}"), f"container string, {key} {kind}, inicio bigint, tokens bigint, cheio bigint")
+        dealt = open_items.withColumn("shard", shard).repartition(min(shards, tasks), "shard")
+        packed = dealt.groupBy("shard").applyInPandas(packer(f"r{rounds}"), f"container string, {key} {kind}, inicio bigint, tokens bigint, cheio bigint")
         packed = materialize(packed, "packed")
         rounds += 1
-        if shards == 1 or (before and count > before // 2):
+        full = F.col("cheio") >= REOPEN * capacity
+        now = packed.groupBy("container").agg(F.max("cheio").alias("cheio")).agg(F.count_if(full).alias("closed"), F.count_if(~full).alias("open")).first()
+        if shards == 1 or now["open"] == 0 or (now["closed"] == 0 and before is not None and now["open"] >= before):
             done.append(packed)
             break
-        before = count
-        done.append(packed.filter(F.col("cheio") >= REOPEN * capacity))
-        open_items = packed.filter(F.col("cheio") < REOPEN * capacity).select(key, "inicio", "tokens")
+        before = now["open"]
+        done.append(packed.filter(full))
+        open_items = packed.filter(~full).select(key, "inicio", "tokens")
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
     return out.select("container", key, "inicio", "tokens")
 
 
+def summary(packed: DataFrame, capacity: int) -> DataFrame:
+    """One row: containers, the fewest that the tokens allow, tokens, and containers under REOPEN."""
+    each = packed.groupBy("container").agg(F.sum("tokens").alias("t"))
+    total = F.coalesce(F.sum("t"), F.lit(0))
+    return each.agg(F.count(F.lit(1)).alias("containers"), F.ceil(total / capacity).alias("minimo"), total.alias("tokens"), F.count_if(F.col("t") < REOPEN * capacity).alias("abertos"))
+
+
+def kept(packed: DataFrame, items: DataFrame, key: str, size: str, capacity: int) -> DataFrame:
+    """What must hold, each as the number of breaches: containers beyond the capacity, items whose
+    pieces do not make up their size, and items cut though they fit."""
+    over = packed.groupBy("container").agg(F.sum("tokens").alias("t")).agg(F.count_if(F.col("t") > capacity)).scalar()
+    mine = packed.groupBy(key).agg(F.sum("tokens").alias("__t"), F.count(F.lit(1)).alias("__n"), F.count_distinct("inicio").alias("__i"))
+    each = items.select(key, F.col(size).alias("__s")).join(mine, key, "full")
+    lost = F.coalesce("__t", F.lit(0)) != F.coalesce("__s", F.lit(0))
+    cut = (F.col("__s") > 0) & ((F.col("__n") != F.ceil(F.col("__s") / capacity)) | (F.col("__i") != F.col("__n")))
+    rows = each.agg(F.count_if(lost).alias("perdidos"), F.count_if(cut).alias("cortados"), F.count_if(F.col("__n") > 0).alias("documentos"))
+    return rows.select(over.alias("acima"), "perdidos", "cortados", "documentos")
+
+
 def fills(packed: DataFrame, key: str, capacity: int) -> DataFrame:
     total = F.sum("tokens")
     return packed.groupBy("container").agg(F.count_distinct(key).alias("documentos"), total.alias("tokens"), (total / capacity).alias("cheio"))

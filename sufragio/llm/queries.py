@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sufragio.llm import canonical, encoding, linkage, mixing, packing, reading, tokens
 from sufragio.llm.topn import top_n
-from sufragio.session import table
+from sufragio.session import materialize, table
 
 
 def same_persons(spark: SparkSession, folder: str) -> DataFrame:
@@ -62,6 +62,10 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 CAPACITY = 2048  # tokens of a container
 
 
+def measured_documents(spark: SparkSession, folder: str) -> DataFrame:
+    return materialize(tokens.sizes(table(spark, folder, "documents"), "doc_id", "text"), "sizes")
+
+
 def packed_documents(spark: SparkSession, folder: str) -> DataFrame:
     items = tokens.sizes(table(spark, folder, "documents"), "doc_id", "text")
     return packing.pack(items, "doc_id", "tokens", CAPACITY)
@@ -75,6 +79,15 @@ def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
     return packing.fills(packed_documents(spark, folder), "doc_id", CAPACITY)
 
 
+def p7_summary(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.summary(packed_documents(spark, folder), CAPACITY)
+
+
+def p7_kept(spark: SparkSession, folder: str) -> DataFrame:
+    items = measured_documents(spark, folder)
+    return packing.kept(packing.pack(items, "doc_id", "tokens", CAPACITY), items, "doc_id", "tokens", CAPACITY)
+
+
 def _mixture(spark: SparkSession, folder: str, budget: float | str | None = None) -> tuple[DataFrame, DataFrame]:
     return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "fontes_alvo"), "doc_id", "text", "source", budget=budget)
 
@@ -127,11 +140,12 @@ def p9_hardest(spark: SparkSession, folder: str) -> DataFrame:
     return rows.orderBy(F.col("esperado").desc_nulls_last(), "doc_id").limit(100).select("doc_id", "nivel", F.round("esperado", 6).alias("esperado"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_confidence": p1_confidence, "p2_found": p2_found, "p2_repaired": p2_repaired, "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p6_found": p6_found, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p8_shares_all": p8_shares_all, "p8_kept": p8_kept, "p9_found": p9_found, "p9_levels": p9_levels, "p9_profile": p9_profile, "p9_hardest": p9_hardest}
+QUERIES = {"p1_found": p1_found, "p1_confidence": p1_confidence, "p2_found": p2_found, "p2_repaired": p2_repaired, "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p6_found": p6_found, "p7_containers": p7_containers, "p7_fill": p7_fill, "p7_summary": p7_summary, "p7_kept": p7_kept, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p8_shares_all": p8_shares_all, "p8_kept": p8_kept, "p9_found": p9_found, "p9_levels": p9_levels, "p9_profile": p9_profile, "p9_hardest": p9_hardest}
 ORACLE = {
     "p6_found": """SELECT * FROM (SELECT ANO_ELEICAO AS ano_eleicao, upper(trim(SG_UF)) AS sg_uf, upper(trim(DS_CARGO)) AS ds_cargo,
   row_number() OVER (PARTITION BY ANO_ELEICAO, upper(trim(SG_UF)), upper(trim(DS_CARGO)) ORDER BY QT_VOTOS_NOMINAIS_VALIDOS DESC, row_id)::INT AS posicao, row_id
   FROM analytics WHERE ANO_ELEICAO IS NOT NULL AND SG_UF IS NOT NULL AND DS_CARGO IS NOT NULL AND QT_VOTOS_NOMINAIS_VALIDOS IS NOT NULL) WHERE posicao <= 5""",
+    "p7_kept": "SELECT 0::BIGINT AS acima, 0::BIGINT AS perdidos, 0::BIGINT AS cortados, count(*) FILTER (WHERE length(text) > 0) AS documentos FROM documents",
     "p8_kept": """SELECT f.source AS fonte, TRUE AS parte_mantida, TRUE AS repeticoes_mantidas FROM fontes_alvo f WHERE EXISTS (SELECT 1 FROM documents d
   WHERE replace(replace(lower(trim(d.source)), ' ', '_'), '-', '_') = f.source AND length(d.text) > 0)""",
 }

@@ -26,6 +26,41 @@ def test_round_trip_of_words(text, chain_, written, read):
             assert E.restored(chain(once, written, read))[chain_] == w
 
 
+def test_text_damaged_many_times():
+    word = "JOÃO"
+    for _ in range(7):
+        word = chain(word, "utf-8", "latin-1")
+    assert E.restored(word)["utf8>win"] == "JOÃO"
+
+
+def test_refill_is_the_best_of_all_ways():
+    import itertools
+
+    model = E.WordModel({"^^J": 4.0, "^JO": 3.0, "JOÃ": 3.0, "OÃO": 3.0, "ÃO$": 3.0, "^JÉ": 1.0, "JÉÇ": 1.0, "ÉÇA": 1.0, "ÇA$": 1.0})
+    for word in ("J?O", "?O", "J??A", "JO?", "?"):
+        fixed, score = model.refill(word)
+        ways = {"".join(c) for form in {word, word.replace("??", "?")} for c in itertools.product(*[E.REFILL if ch == "?" else ch for ch in form])}
+        assert fixed in ways and abs(score - max(model.score(w) for w in ways)) < 1e-9
+
+
+def test_planted_damage_is_found_and_undone(spark):
+    """Restored against the text before the damage, over chains, sources and fields."""
+    import random
+
+    r = random.Random(6)
+    firsts, lasts = ["JOÃO", "JOSÉ", "CONCEIÇÃO", "ANTÔNIO", "LÚCIA", "MÁRIO", "INÊS", "PEDRO"], ["GRAÇA", "JÚNIOR", "SILVA", "FRANÇA", "GALVÃO", "LEITÃO", "COSTA"]
+    pages = [("utf-8", "latin-1"), ("utf-8", "cp850"), ("latin-1", "cp850"), ("latin-1", "mac_roman")]
+    rows, true = [], {}
+    for i in range(1500):
+        text = f"{r.choice(firsts)} {r.choice(lasts)} {r.choice(lasts)}"
+        if i % 15 == 0 and not text.isascii():
+            true[i] = text
+            text = chain(text, *pages[i % 4])
+        rows.append((i, r.choice(["SP", "RJ"]), text))
+    found = {x["row_id"]: x["restored"] for x in E.find(spark.createDataFrame(rows, "row_id bigint, uf string, nome string"), "uf", ["nome"], "row_id").collect()}
+    assert set(found) == set(true) and sum(found[i] == true[i] for i in true) >= 0.98 * len(true)
+
+
 def test_capitals_after_the_damage():
     assert E.restored(chain("josé", "utf-8", "latin-1").upper())["utf8>win"] == "JOSÉ"
     assert E.restored(chain("condões", "utf-8", "latin-1").upper())["utf8>win"] == "CONDÕES"

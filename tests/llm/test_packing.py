@@ -37,6 +37,21 @@ def test_several_shards_and_rounds(spark, monkeypatch):
     assert len(fill) <= sum(sizes) / 1000 * 1.05 + 1
 
 
+def test_items_that_never_fit_together_end_the_rounds(spark, monkeypatch):
+    monkeypatch.setattr(P, "SHARD", 10)
+    assert len(check(spark, [600] * 75, 1000)) == 75
+
+
+def test_summary_and_breaches(spark):
+    items = spark.createDataFrame([(1, 7), (2, 5), (3, 25), (4, 0), (5, None)], "id bigint, n bigint")
+    packed = P.pack(items, "id", "n", 10)
+    got = P.summary(packed, 10).first()
+    assert (got["minimo"], got["tokens"]) == (4, 37) and got["containers"] >= 4
+    assert tuple(P.kept(packed, items, "id", "n", 10).first()) == (0, 0, 0, 3)
+    bad = spark.createDataFrame([("a", 1, 0, 7), ("a", 2, 0, 5), ("b", 3, 0, 10)], "container string, id bigint, inicio bigint, tokens bigint")
+    assert tuple(P.kept(bad, items, "id", "n", 10).first()) == (1, 1, 1, 3)
+
+
 def test_local_search_empties_containers():
     sizes = [6, 6, 4, 4, 5, 5, 5, 5, 3, 3, 2, 2]
     start = [[0], [1], [2, 3], [4], [5], [6], [7], [8, 9], [10, 11]]
