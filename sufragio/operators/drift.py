@@ -11,7 +11,11 @@ Defined cases: repeated lines of a file count each for its type; a field without
 file has no type there and is not compared; files of one series made at the same moment are
 taken in the order of their key; a null header is a file without fields; a name that stands
 twice in a header counts once, at its first place; a line with too few values leaves the rest
-null; values beyond the header are dropped; empty tables give empty results.
+null; empty tables give empty results. In the consistent table nothing is lost: values of names
+outside the alias table, of unnamed or repeated columns and beyond the header (these as '#' and
+their place) stand in `outros`; of two names of one field in a file the first that has a value
+counts and the other stands in `outros`; a value that does not fit its field is null there and
+stands as it is in `rejeitados`.
 """
 
 from __future__ import annotations
@@ -122,26 +126,45 @@ def catalogue(
     return heads.join(typed, ["__key", "place"], "left").join(numbers, "__key")
 
 
-def changes(cat: DataFrame, aliases: Mapping[str, tuple[str, Sequence[str]]] = ALIASES) -> DataFrame:
-    """__key (the later file), campo, mudanca: added, removed, renamed, type_changed."""
+def lives(cat: DataFrame) -> DataFrame:
+    """cat with the numbers and types of the files before and after that have the same name."""
     around = F.array_distinct(
         F.array(*[F.floor(F.greatest(F.col("__seq") + d, F.lit(0)) / BLOCK) for d in (-1, 0, 1)])
     )
     blocks = cat.withColumn("__block", F.explode(around))
     own = F.floor(F.col("__seq") / BLOCK) == F.col("__block")
     w = Window.partitionBy("__series", "name", "__block").orderBy("__seq")
-    lives = (
+    return (
         blocks.withColumn("__prev", F.lag("__seq").over(w))
         .withColumn("__prev_type", F.lag("type").over(w))
         .withColumn("__next", F.lead("__seq").over(w))
+        .withColumn("__next_type", F.lead("type").over(w))
         .filter(own)
     )
+
+
+def islands(cat: DataFrame) -> DataFrame:
+    """serie, campo, tipo (null: no value), primeiro, ultimo (file numbers from 1): each stretch of
+    consecutive files of a series in which a field has one type. Windows hold only the starts and
+    ends of one field's stretches."""
+    before = F.coalesce(F.col("__prev") == F.col("__seq") - 1, F.lit(False)) & F.col("__prev_type").eqNullSafe(F.col("type"))
+    after = F.coalesce(F.col("__next") == F.col("__seq") + 1, F.lit(False)) & F.col("__next_type").eqNullSafe(F.col("type"))
+    edges = lives(cat).select("__series", "name", "type", "__seq", (~before).alias("s"), (~after).alias("e")).filter("s or e")
+    w = Window.partitionBy("__series", "name").orderBy("__seq")
+    until = F.when(F.col("e"), F.col("__seq")).otherwise(F.lead("__seq").over(w))  # the edge after a start is its end
+    out = edges.withColumn("until", until).filter("s")
+    return out.select(F.col("__series").alias("serie"), F.col("name").alias("campo"), F.col("type").alias("tipo"), (F.col("__seq") + 1).alias("primeiro"), (F.col("until") + 1).alias("ultimo"))
+
+
+def changes(cat: DataFrame, aliases: Mapping[str, tuple[str, Sequence[str]]] = ALIASES) -> DataFrame:
+    """__key (the later file), campo, mudanca: added, removed, renamed, type_changed."""
+    lived = lives(cat)
     follows = F.coalesce(F.col("__prev") == F.col("__seq") - 1, F.lit(False))
     goes_on = F.coalesce(F.col("__next") == F.col("__seq") + 1, F.lit(False))
     at = "__at"  # number of the later file of a pair
-    kept = lives.filter(follows & (F.col("type") != F.col("__prev_type"))).select("__series", F.col("__seq").alias(at), F.col("name").alias("campo"), F.lit("type_changed").alias("mudanca"))
-    starts = lives.filter(~follows & (F.col("__seq") > 0)).select("__series", F.col("__seq").alias(at), "name", "type", F.lit(1).alias("s"))
-    ends = lives.filter(~goes_on).select("__series", (F.col("__seq") + 1).alias(at), "name", "type", F.lit(0).alias("s"))
+    kept = lived.filter(follows & (F.col("type") != F.col("__prev_type"))).select("__series", F.col("__seq").alias(at), F.col("name").alias("campo"), F.lit("type_changed").alias("mudanca"))
+    starts = lived.filter(~follows & (F.col("__seq") > 0)).select("__series", F.col("__seq").alias(at), "name", "type", F.lit(1).alias("s"))
+    ends = lived.filter(~goes_on).select("__series", (F.col("__seq") + 1).alias(at), "name", "type", F.lit(0).alias("s"))
     # one row per file pair and meaning: at most a handful of names, matched in the order of their names
     same = (
         starts.unionByName(ends)
@@ -174,31 +197,65 @@ def report(files: DataFrame, lines: DataFrame, key: str, series: str, made: str,
     return found.join(numbers, same).select(F.col("__key").alias(key), "campo", "mudanca")
 
 
-def _cast(v: Column, kind: str) -> Column:
-    v = F.when(~F.trim(v).isin(*NO_VALUE), F.trim(v))
+#: A number with something written around it ('31ª ZONA', 'ANO-2008', '#5'), but no sign or separator.
+DECORATED = "^(?:[^0-9.,+-]*[^0-9\\s.,+-]-)?[^0-9.,+-]*([0-9]+)[^0-9.,+-]*\\z"
+
+
+def cast(v: Column, kind: str) -> Column:
+    """v (trimmed) as the kind of its field, null if it does not fit. A whole number may have a sign
+    (not in digits), a fraction of zeros, or words around it; nothing else is read into it."""
     if kind == "date":
-        return F.coalesce(F.try_to_date(v.substr(1, 10), "dd/MM/yyyy"), F.try_to_date(v.substr(1, 10), "yyyy-MM-dd"))
+        day = F.when(v.rlike(f"^{TYPES['date_dmy']}\\z"), F.try_to_date(v, "dd/MM/yyyy"))
+        return F.coalesce(day, F.when(v.rlike(f"^{TYPES['date_ymd']}( [0-9:]{{8}})?\\z"), F.try_to_date(v.substr(1, 10), "yyyy-MM-dd")))
     if kind in ("int", "digits"):
-        whole = F.regexp_replace(v, "(?<=[0-9])[.,]0+\\z", "")  # '382,00', '2014.0'
-        run = F.nullif(F.regexp_extract(whole, "([0-9]+)", 1), F.lit(""))
+        sign = "[+-]?" if kind == "int" else ""
+        run = F.when(v.rlike(f"^{sign}[0-9]+\\z"), v).when(v.rlike(f"^{sign}[0-9]+[.,]0+\\z"), F.regexp_extract(v, "^([+-]?[0-9]+)", 1))
+        run = run.when(v.rlike(DECORATED), F.regexp_extract(v, DECORATED, 1))
         return run.try_cast("bigint") if kind == "int" else run
     return v
 
 
 def consistent(files: DataFrame, lines: DataFrame, key: str, header: str, line_id: str, line_key: str, content: str, aliases=ALIASES, delimiter: str = ";") -> DataFrame:
-    """All lines as one table with a column per canonical field, cast by the field's kind.
+    """All lines as one table: a column per field of the alias table, cast by the field's kind,
+    `outros` ('NAME=value' of everything else, by place) and `rejeitados` ('FIELD=value' of values
+    that do not fit, by field), both divided by the delimiter and null if there is none.
 
-    The header of a file, turned to canonical names once, is joined to its lines salted, since
+    The places of the fields are worked out once per file and joined to its lines salted, since
     one file may hold a third of them."""
-    names = F.transform(header_names(F.col(header), delimiter), lambda x: canonical(x, aliases))
-    heads = files.select(F.col(key).alias("__key"), names.alias("__names"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("__salt"))
-    rows = lines.select(
-        F.col(line_id), F.col(line_key).alias("__key"), F.split(F.col(content), delimiter, -1).alias("__values"), F.pmod(F.xxhash64(F.col(line_id)), F.lit(SALTS)).alias("__salt")
+    clean = lambda v: F.when(~F.trim(v).isin(*NO_VALUE), F.trim(v))
+    names = F.coalesce(header_names(F.col(header), delimiter), F.array().cast("array<string>"))
+    place = F.sequence(F.lit(0), F.size("__n") - 1)
+    told = F.when(F.size("__n") == 0, F.array().cast("array<string>")).otherwise(
+        F.transform(place, lambda i: F.when((F.get("__n", i) == "") | (F.array_position("__n", F.get("__n", i)) <= i), F.concat(F.lit("#"), (i + 1).cast("string"))).otherwise(F.get("__n", i)))
     )
+    heads = files.select(F.col(key).alias("__key"), names.alias("__n")).withColumn("__n", told)
+    heads = heads.withColumn("__f", F.transform("__n", lambda x: canonical(x, aliases)))
+    all_of = lambda f: F.filter(F.transform("__f", lambda x, i: F.when(x == f, i)), lambda i: i.isNotNull())
+    known = F.array(*[F.lit(f) for f in aliases])
+    rest = F.filter(
+        F.transform("__n", lambda n, i: F.struct(n.alias("name"), i.alias("at"), F.filter(all_of(F.get("__f", i)), lambda p: p < i).alias("before"), F.array_contains(known, F.get("__f", i)).alias("known"))),
+        lambda x: ~x["known"] | (F.size(x["before"]) > 0),
+    )
+    heads = heads.select("__key", F.size("__n").alias("__width"), rest.alias("__rest"), *[all_of(F.lit(f)).alias(f"__at_{f}") for f in aliases])
+    heads = heads.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    values = F.transform(F.split(F.col(content), delimiter, -1), clean)
+    rows = lines.select(F.col(line_id), F.col(line_key).alias("__key"), values.alias("__v"), F.pmod(F.xxhash64(F.col(line_id)), F.lit(SALTS)).alias("__salt"))
     joined = rows.join(heads, ["__key", "__salt"], "left")
-    out = []
-    for field, (kind, _) in aliases.items():
-        at = F.array_position("__names", F.lit(field))
-        value = F.when(at > 0, F.get("__values", (at - 1).cast("int")))
-        out.append(_cast(value, kind).alias(field))
-    return joined.select(F.col("__key").alias(line_key), line_id, *out)
+    raw = {f: F.get(F.filter(F.transform(f"__at_{f}", lambda p: F.get("__v", p)), lambda v: v.isNotNull()), F.lit(0)) for f in aliases}
+    joined = joined.select("*", *[v.alias(f"__raw_{f}") for f, v in raw.items()])
+    made = {f: cast(F.col(f"__raw_{f}"), kind) for f, (kind, _) in aliases.items()}
+    used = lambda x: x["known"] & ~F.exists(x["before"], lambda p: F.get("__v", p).isNotNull())
+    show = lambda name, v: F.concat(name, F.lit("="), v)
+    others = F.transform(F.filter("__rest", lambda x: ~used(x)), lambda x: show(x["name"], F.get("__v", x["at"])))
+    width = F.coalesce("__width", F.lit(0))
+    beyond = F.transform("__v", lambda v, i: F.when(i >= width, show(F.concat(F.lit("#"), (i + 1).cast("string")), v)))
+    every = F.filter(F.concat(F.coalesce(others, F.array().cast("array<string>")), F.coalesce(beyond, F.array().cast("array<string>"))), lambda x: x.isNotNull())
+    out = joined.select(F.col("__key").alias(line_key), line_id, *[c.alias(f) for f, c in made.items()], every.alias("__every"), *[f"__raw_{f}" for f in aliases])
+    rejected = F.concat_ws(delimiter, *[F.when(F.col(f"__raw_{f}").isNotNull() & F.col(f).isNull(), show(F.lit(f), F.col(f"__raw_{f}"))) for f in aliases])
+    return out.select(line_key, line_id, *aliases, F.nullif(F.array_join("__every", delimiter), F.lit("")).alias("outros"), F.nullif(rejected, F.lit("")).alias("rejeitados"))
+
+
+def rejects(table: DataFrame, delimiter: str = ";") -> DataFrame:
+    """campo, valores: how many values of each field did not fit it."""
+    each = table.filter(F.col("rejeitados").isNotNull()).select(F.explode(F.split("rejeitados", delimiter, -1)).alias("r"))
+    return each.groupBy(F.substring_index("r", "=", 1).alias("campo")).agg(F.count(F.lit(1)).alias("valores"))

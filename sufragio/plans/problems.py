@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sufragio.operators import drift, malformed
-from sufragio.session import table
+from sufragio.session import materialize, table
 
 #: Fields of a raw vote line, in order.
 RAW_FIELDS = (
@@ -47,7 +47,17 @@ def p4_table(spark: SparkSession, folder: str) -> DataFrame:
     return drift.consistent(table(spark, folder, "remessas"), table(spark, folder, "remessa_linhas"), "remessa_id", "cabecalho", "linha_id", "remessa_id", "conteudo")
 
 
-QUERIES = {"p3_found": p3_found, "p3_valid": p3_valid, "p3_report": p3_report, "p4_found": p4_found, "p4_table": p4_table}
+def p4_rejected(spark: SparkSession, folder: str) -> DataFrame:
+    return drift.rejects(p4_table(spark, folder))
+
+
+def p4_types(spark: SparkSession, folder: str) -> DataFrame:
+    """The stretches of files in which a field of a series has one type."""
+    cat = drift.catalogue(table(spark, folder, "remessas"), table(spark, folder, "remessa_linhas"), "remessa_id", "serie", "dt_geracao", "cabecalho", "remessa_id", "conteudo")
+    return drift.islands(materialize(cat, "field-lifespans"))
+
+
+QUERIES = {"p3_found": p3_found, "p3_valid": p3_valid, "p3_report": p3_report, "p4_found": p4_found, "p4_table": p4_table, "p4_rejected": p4_rejected, "p4_types": p4_types}
 
 _FIELD = '(?:"[^"]*(?:""[^"]*)*"|[^";]*)'
 _PARSED = f"""WITH l AS (SELECT line_id, arquivo, regexp_replace(linha, '\\r\\z', '') AS t FROM votacao_bruta),
@@ -95,21 +105,38 @@ UNION ALL SELECT a.remessa_id, a.name, 'type_changed' FROM cat a JOIN cat b ON a
 
 
 def _consistent_sql() -> str:
+    """Written from the rule: what fits a whole number, a code or a date, and where the rest goes."""
     cases = []
     for field, (kind, _) in drift.ALIASES.items():
-        v = f"max(CASE WHEN field = '{field}' THEN v END)"
-        run = f"nullif(regexp_extract(regexp_replace({v}, '([0-9])[.,]0+$', '\\1'), '([0-9]+)', 1), '')"
-        if kind == "date":
-            v = f"coalesce(try_strptime(substr({v}, 1, 10), '%d/%m/%Y'), try_strptime(substr({v}, 1, 10), '%Y-%m-%d'))::DATE"
-        elif kind == "int":
-            v = f"try_cast({run} AS BIGINT)"
+        v = f"r_{field}"
+        words = f"regexp_full_match({v}, '([^0-9.,+-]*[^0-9 .,+-]-)?[^0-9.,+-]*[0-9]+[^0-9.,+-]*') THEN regexp_extract({v}, '[0-9]+')"
+        if kind == "int":
+            cast = f"try_cast(CASE WHEN regexp_full_match({v}, '[+-]?[0-9]+') THEN {v} WHEN regexp_full_match({v}, '[+-]?[0-9]+[.,]0+') THEN split_part(replace({v}, ',', '.'), '.', 1) WHEN {words} END AS BIGINT)"
         elif kind == "digits":
-            v = run
-        cases.append(f"{v} AS {field}")
+            cast = f"CASE WHEN regexp_full_match({v}, '[0-9]+') THEN {v} WHEN regexp_full_match({v}, '[0-9]+[.,]0+') THEN split_part(replace({v}, ',', '.'), '.', 1) WHEN {words} END"
+        elif kind == "date":
+            cast = f"""CASE WHEN regexp_full_match({v}, '[0-9]{{2}}/[0-9]{{2}}/[0-9]{{4}}') THEN try_strptime({v}, '%d/%m/%Y')::DATE
+  WHEN regexp_full_match({v}, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}( [0-9:]{{8}})?') THEN try_strptime(substr({v}, 1, 10), '%Y-%m-%d')::DATE END"""
+        else:
+            cast = v
+        cases.append(f"{cast} AS {field}")
+    raw = ", ".join(f"max(v) FILTER (WHERE field = '{f}' AND k = 1) AS r_{f}" for f in drift.ALIASES)
+    rejected = ", ".join(f"CASE WHEN r_{f} IS NOT NULL AND {f} IS NULL THEN '{f}=' || r_{f} END" for f in drift.ALIASES)
     return f"""WITH known(name, field) AS (VALUES {_KNOWN}), {_HEADS}, {_VALUES},
-named AS (SELECT l.remessa_id, l.linha_id, coalesce(k.field, h.name) AS field, CASE WHEN trim(v) NOT IN ('', '#NULO#') THEN trim(v) END AS v
-  FROM vals l JOIN heads h USING (remessa_id, p) LEFT JOIN known k USING (name))
-SELECT remessa_id, linha_id, {', '.join(cases)} FROM named GROUP BY remessa_id, linha_id"""
+named AS (SELECT l.remessa_id, l.linha_id, l.p, coalesce(h.name, '#' || l.p) AS name, k.field, CASE WHEN trim(v) NOT IN ('', '#NULO#') THEN trim(v) END AS v
+  FROM vals l LEFT JOIN heads h USING (remessa_id, p) LEFT JOIN known k ON k.name = h.name),
+ranked AS (SELECT *, CASE WHEN v IS NOT NULL THEN row_number() OVER (PARTITION BY linha_id, field, v IS NULL ORDER BY p) END AS k FROM named),
+wide AS (SELECT remessa_id, linha_id, {raw}, string_agg(name || '=' || v, ';' ORDER BY p) FILTER (WHERE v IS NOT NULL AND (field IS NULL OR k > 1)) AS outros FROM ranked GROUP BY remessa_id, linha_id),
+made AS (SELECT *, {', '.join(cases)} FROM wide)
+SELECT remessa_id, linha_id, {', '.join(drift.ALIASES)}, outros, nullif(concat_ws(';', {rejected}), '') AS rejeitados FROM made"""
 
 
 ORACLE["p4_table"] = _consistent_sql()
+ORACLE["p4_rejected"] = f"SELECT split_part(r, '=', 1) AS campo, count(*) AS valores FROM (SELECT unnest(string_split(rejeitados, ';')) AS r FROM ({ORACLE['p4_table']}) WHERE rejeitados IS NOT NULL) GROUP BY 1"
+ORACLE["p4_types"] = f"""WITH {_HEADS}, {_VALUES},
+tally AS (SELECT remessa_id, p, t, count(*) AS n FROM (SELECT remessa_id, p, CASE {_TYPE_CASES} ELSE 'text' END AS t FROM vals WHERE trim(v) NOT IN ('', '#NULO#')) GROUP BY ALL),
+best AS (SELECT remessa_id, p, t FROM tally QUALIFY row_number() OVER (PARTITION BY remessa_id, p ORDER BY n DESC, CASE t {_WIDE} END DESC) = 1),
+nums AS (SELECT remessa_id, serie, row_number() OVER (PARTITION BY serie ORDER BY dt_geracao, remessa_id) AS s FROM remessas),
+cat AS (SELECT serie, s, name, t FROM heads h JOIN nums USING (remessa_id) LEFT JOIN best USING (remessa_id, p)),
+runs AS (SELECT *, s - row_number() OVER (PARTITION BY serie, name, t ORDER BY s) AS island FROM cat)
+SELECT serie, name AS campo, t AS tipo, min(s) AS primeiro, max(s) AS ultimo FROM runs GROUP BY serie, name, t, island"""
