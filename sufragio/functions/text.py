@@ -58,5 +58,11 @@ def number(c: Column | str) -> Column:
     return strip(col(c).cast("string")).try_cast("double")
 
 
+def whole(c: Column | str) -> Column:
+    """Whole number of a text, exact at any size where it is written as one; a fraction is cut off."""
+    x = strip(col(c).cast("string"))
+    return F.when(x.rlike("^[+-]?[0-9]{1,38}\\z"), x.try_cast("decimal(38,0)")).otherwise(x.try_cast("double").try_cast("bigint").cast("decimal(38,0)"))
+
+
 def number0(c: Column | str) -> Column:
     return F.coalesce(number(c), F.lit(0.0))

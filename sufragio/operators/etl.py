@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sufragio.functions import labels, text
-from sufragio.operators.fact import ROLES, day, round_number
+from sufragio.operators.fact import ROLES, STORED, day, round_number
 from sufragio.operators.relational import best_row
 from sufragio.sources.files import year_of_name
 
@@ -53,7 +53,7 @@ def prepare_register(raw: DataFrame) -> DataFrame:
     """Register rows under canonical names, each once."""
     names = list(dict.fromkeys([*EXACT_KEY, *WIDE_KEY, *PROFILE]))
     out = raw.select(*[_pick(raw, [n]).cast("string").alias(n) for n in names], *(["dt_carga"] if "dt_carga" in raw.columns else []))
-    return out.withColumn("ANO_ELEICAO", text.number(F.col("ANO_ELEICAO")).try_cast("int")).withColumns({n: text.nullable(n) for n in names if n != "ANO_ELEICAO"})
+    return out.withColumn("ANO_ELEICAO", text.whole(F.col("ANO_ELEICAO")).try_cast("int")).withColumns({n: text.nullable(n) for n in names if n != "ANO_ELEICAO"})
 
 
 def _one_per(register: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -64,19 +64,39 @@ def _one_per(register: DataFrame, key: Sequence[str]) -> DataFrame:
 
 def enrich(votes: DataFrame, register: DataFrame) -> DataFrame:
     """Profile columns from the register where the vote row has none: by year and source id, else
-    by year, number, state and office."""
-    out = votes
-    for i, key in enumerate((EXACT_KEY, WIDE_KEY)):
-        own = _one_per(register, key).select(*key, *[F.col(c).alias(f"__{i}{c}") for c in PROFILE])
-        out = out.join(own, list(key), "left")
-    filled = {c: F.coalesce(text.nullable(c), F.col(f"__0{c}"), F.col(f"__1{c}")) for c in PROFILE}
-    return out.withColumns(filled).select(*votes.columns)
+    by year, number, state and office. Rows with a null in a key cannot match and stay out of its
+    join, so that they are no hot key; the second join sees only what the first left without."""
+    cols = votes.columns
+    out, done = votes.withColumns({c: text.nullable(c) for c in PROFILE}), []
+    for key in (EXACT_KEY, WIDE_KEY):
+        whole = F.lit(True)
+        for c in key:
+            whole = whole & F.col(c).isNotNull()
+        own = _one_per(register, key).select(*key, *[F.col(c).alias(f"__{c}") for c in PROFILE], F.lit(True).alias("__hit"))
+        joined = out.filter(whole).join(own, list(key), "left")
+        found = joined.withColumns({c: F.coalesce(c, f"__{c}") for c in PROFILE})
+        if key == EXACT_KEY:
+            # a row that was found and still lacks something may have it from the second key
+            lacking = F.col("__hit").isNull()
+            for c in PROFILE:
+                lacking = lacking | F.col(c).isNull()
+            done.append(found.filter(~lacking).select(*cols))
+            out = found.filter(lacking).select(*cols).unionByName(out.filter(~whole).select(*cols))
+        else:
+            done += [found.select(*cols), out.filter(~whole).select(*cols)]
+    return done[0].unionByName(done[1]).unionByName(done[2])
+
+
+def with_keys(df: DataFrame) -> DataFrame:
+    """The fact table with its normalised keys as columns: filters on them reach the files."""
+    made = {"state": F.upper(text.nullable("SG_UF")), "office_key": F.upper(text.nullable("DS_CARGO")), "place_key": labels.place_key(F.col("NM_UE"))}
+    return df.withColumns({STORED[k]: c for k, c in made.items()})
 
 
 def canonical(raw: DataFrame) -> DataFrame:
     """Raw vote rows as the columns of the fact table; what a file lacks is null. The year comes
     from the file's name where there is no column for it."""
-    year = text.number(_any(raw, ROLES["year"])).try_cast("int")
+    year = text.whole(_any(raw, ROLES["year"])).try_cast("int")
     year = F.coalesce(year, year_of_name(F.col("__file"))) if "__file" in raw.columns else year
     out = {c: text.nullable(_pick(raw, [c]).cast("string")) for c in CANONICAL}
     out |= {
@@ -84,7 +104,7 @@ def canonical(raw: DataFrame) -> DataFrame:
         "NR_TURNO": F.nullif(round_number(_any(raw, ROLES["round"])), F.lit(0)),
         "DS_CARGO": _any(raw, ROLES["office"]),
         "NM_UE": _any(raw, ROLES["place"]),
-        VOTES: F.coalesce(text.number(_any(raw, ROLES["votes"])).try_cast("bigint"), F.lit(0).cast("bigint")),
+        VOTES: F.coalesce(text.whole(_any(raw, ROLES["votes"])).try_cast("bigint"), F.lit(0).cast("bigint")),
         "LATITUDE": text.number(_pick(raw, ["LATITUDE"])),
         "LONGITUDE": text.number(_pick(raw, ["LONGITUDE"])),
     }
@@ -102,12 +122,13 @@ def rollup(df: DataFrame, value: str = VOTES) -> DataFrame:
     return df.groupBy(*keys).agg(F.sum(value).alias(value)).select(*df.columns)
 
 
-def build(raw: DataFrame, register: DataFrame | None, rolled: bool = True) -> DataFrame:
-    """The fact table; exact duplicates are dropped before votes are summed."""
+def build(raw: DataFrame, register: DataFrame | None, rolled: bool = True, keys: bool = False) -> DataFrame:
+    """The fact table; exact duplicates are dropped before votes are summed. keys: with_keys()."""
     df = canonical(raw)
     df = enrich(df, prepare_register(register)) if register is not None else df
     df = with_ages(df).distinct()
-    return rollup(df) if rolled else df
+    df = rollup(df) if rolled else df
+    return with_keys(df) if keys else df
 
 
 def quality(df: DataFrame) -> DataFrame:

@@ -52,6 +52,11 @@ def day(c: Column) -> Column:
     return F.coalesce(F.try_to_date(x, "dd/MM/yyyy"), F.try_to_date(x, "yyyy-MM-dd"))
 
 
+#: Normalised key columns that a built fact table carries, so that filters on them reach the files.
+STORED = {"state": "uf_chave", "office_key": "cargo_chave", "place_key": "municipio_chave"}
+WHOLE, BROKEN = ("tinyint", "smallint", "int", "bigint"), ("float", "double")
+
+
 def round_number(c: Column) -> Column:
     """Number, else the first run of digits, else 0."""
     x = text.strip(c.cast("string"))
@@ -82,23 +87,37 @@ def bind(source: DataFrame) -> Fact:
     """Catalyst prunes the canonical columns that a query does not use."""
     present = {c.upper(): c for c in reversed(source.columns)}
     found = {role: next((present[a] for a in names if a in present), None) for role, names in ROLES.items()}
+    kinds = dict(source.dtypes)
     raw = lambda role: F.col(f"`{found[role]}`") if found[role] else F.lit(None).cast("string")
     s = lambda role: text.nullable(raw(role))
+    stored = lambda key, made: F.col(f"`{present[STORED[key].upper()]}`") if STORED[key].upper() in present else made
+
+    def whole(role: str, kind: str) -> Column:
+        """A number as it is where the column is one already, so that filters reach the files and
+        large ones stay exact; else out of its text."""
+        own = kinds.get(found[role])
+        return raw(role) if own == kind else raw(role).cast(kind) if own in WHOLE else text.whole(raw(role)).try_cast(kind)
+
+    def broken(role: str) -> Column:
+        own = kinds.get(found[role])
+        return raw(role) if own == "double" else raw(role).cast("double") if own in WHOLE + BROKEN else text.number(raw(role))
+
+    turn = F.coalesce(raw("round").cast("int"), F.lit(0)) if kinds.get(found["round"]) in WHOLE else round_number(raw("round"))
     base = source.select(
         (raw("row").cast("bigint") if found["row"] else F.monotonically_increasing_id()).alias("row"),
-        text.number(raw("year")).try_cast("int").alias("year"),
-        round_number(raw("round")).alias("round"),
-        F.upper(s("state")).alias("state"),
+        whole("year", "int").alias("year"),
+        turn.alias("round"),
+        stored("state", F.upper(s("state"))).alias("state"),
         s("office").alias("office"),
-        F.upper(s("office")).alias("office_key"),
+        stored("office_key", F.upper(s("office"))).alias("office_key"),
         s("party").alias("party"),
         s("place").alias("place"),
-        labels.place_key(raw("place")).alias("place_key"),
+        stored("place_key", labels.place_key(raw("place"))).alias("place_key"),
         text.nullable(text.digits(raw("place_code"))).alias("place_code"),
         s("status").alias("status"),
         labels.elected(raw("status")).alias("elected"),
-        F.coalesce(text.number(raw("votes")).try_cast("bigint"), F.lit(0).cast("bigint")).alias("votes"),
-        text.number(raw("votes")).isNotNull().alias("counted"),
+        F.coalesce(whole("votes", "bigint"), F.lit(0).cast("bigint")).alias("votes"),
+        whole("votes", "bigint").isNotNull().alias("counted"),
         s("source_id").alias("source_id"),
         s("number").alias("number"),
         s("full_name").alias("full_name"),
@@ -106,12 +125,12 @@ def bind(source: DataFrame) -> Fact:
         text.digits(raw("cpf")).alias("cpf"),
         day(raw("birth")).alias("birth"),
         day(raw("held")).alias("held"),
-        text.number(raw("age")).alias("own_age"),
+        broken("age").alias("own_age"),
         s("zone").alias("zone"),
         *[s(r).alias(r) for r in ("gender", "education", "race", "civil", "occupation", "income", "area", "coalition")],
-        text.number(raw("seats")).alias("seats"),
-        text.number(raw("latitude")).alias("latitude"),
-        text.number(raw("longitude")).alias("longitude"),
+        broken("seats").alias("seats"),
+        broken("latitude").alias("latitude"),
+        broken("longitude").alias("longitude"),
     )
     # three projections, each built on columns of the one before: fewer plans to analyse, and
     # no expression is written out again inside another

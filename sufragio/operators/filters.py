@@ -43,7 +43,7 @@ class Scope:
         if state_filter(self.state) and fact.has("state"):
             out = out & (F.col("state") == state_filter(self.state))
         if self.office and fact.has("office"):
-            out = out & (F.lower("office") == self.office.strip().lower())
+            out = out & (F.col("office_key") == self.office.strip().upper())
         if self.party and fact.has("party"):
             out = out & (text.fold_upper(F.col("party")) == folded(self.party))
         if self.place and fact.has("place"):
@@ -66,6 +66,14 @@ class Scope:
         return not (self.state or self.office or self.party or self.place)
 
 
+def search_key(query: str, scope: Scope) -> str | None:
+    """The folded query; None where it is too short: under two characters, or in the whole country
+    under eight letters."""
+    key = folded(query)
+    short = len(key) < 2 or (scope.broad and len(re.sub(r"[^A-Z]", "", key)) < 8)
+    return None if short else key
+
+
 def is_candidate(candidate: str, cpf: str | None = None) -> Column:
     """Rows of a candidate: by number digits if given, else by source id, ballot number, number
     digits (only if the id has digits) or folded name."""

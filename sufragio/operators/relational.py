@@ -13,7 +13,7 @@ METRICS = ("votos_nominais", "candidatos", "eleitos", "registros")
 
 
 def metric(name: str) -> Column:
-    """Aggregate of one metric; an unknown name is an error."""
+    """Aggregate of one metric; an unknown name is an error (queries give nothing for it)."""
     out = {
         "votos_nominais": F.coalesce(F.sum("votes"), F.lit(0)),
         "candidatos": F.count_distinct("candidate"),
@@ -62,12 +62,19 @@ def resolved_labels(df: DataFrame, label: Column) -> DataFrame:
     return counts.groupBy(*unit).agg(best["label"].alias("label"))
 
 
-def with_share(df: DataFrame, value: str, name: str = "percentual", digits: int = 2) -> DataFrame:
-    """The share of the returned rows' total, which is a scalar subquery over its own aggregate."""
-    total = df.agg(F.sum(value)).scalar()
+def with_share(df: DataFrame, value: str, name: str = "percentual", digits: int = 2, few: bool = True) -> DataFrame:
+    """The share of the returned rows' total. few: the rows are labels, states, places or one page,
+    which one task can hold, so the total is a window over them; else it is a scalar of its own."""
+    total = F.sum(value).over(Window.partitionBy(F.lit(0))) if few else df.agg(F.sum(value)).scalar()
     return df.withColumn(name, labels.percent(F.col(value), total, digits))
 
 
+def totals(df: DataFrame, size: int) -> DataFrame:
+    """One row: total of rows and of pages of `size`."""
+    n = F.count(F.lit(1))
+    return df.agg(n.alias("total"), F.ceil(n / size).alias("paginas"))
+
+
 def page(df: DataFrame, order: Sequence[Column], number: int = 1, size: int = 20) -> DataFrame:
     return df.orderBy(*order).offset((number - 1) * size).limit(size)
 

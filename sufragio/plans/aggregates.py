@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from sufragio.functions import labels
 from sufragio.operators.fact import Fact
 from sufragio.operators.filters import Scope, state_filter
-from sufragio.operators.relational import best_row, latest_round, metric, one_row_per_candidate, page, person_id, resolved_labels, round_breakdown, with_share
+from sufragio.operators.relational import METRICS, best_row, latest_round, metric, one_row_per_candidate, page, person_id, resolved_labels, round_breakdown, with_share
+from sufragio.session import materialize
 
 DIMENSIONS = ("status", "genero", "instrucao", "cor_raca", "estado_civil", "ocupacao", "cargo", "uf")
 LOW_AGE, HIGH_AGE, BAND = 20, 90, 10
@@ -120,21 +121,29 @@ def age_bins(fact: Fact, scope: Scope) -> DataFrame:
     return bands.join(counts, "de", "left").select("de", (F.col("de") + BAND - 1).alias("ate"), F.coalesce("total", F.lit(0)).alias("total"))
 
 
+def known_metric(fact: Fact, name: str) -> tuple[Fact, str]:
+    """An unknown metric gives an empty result."""
+    return (fact, name) if name in METRICS else (fact.where(F.lit(False)), "registros")
+
+
 def time_series(fact: Fact, name: str, scope: Scope) -> DataFrame:
+    fact, name = known_metric(fact, name)
     return scope.apply(fact).df.filter(F.col("year").isNotNull()).groupBy(F.col("year").alias("ano")).agg(metric(name).alias("valor")).orderBy("ano")
 
 
 def ranking(fact: Fact, by: str, name: str, scope: Scope, top: int | None = 20) -> DataFrame:
     """Groups by metric; shares are of the returned rows."""
+    fact, name = known_metric(fact, name)
     df = scope.apply(fact).df
     if scope.presidential and by != "uf":
         df = one_row_per_candidate(df)
     label = {"candidato": F.coalesce("name", F.lit("N/A")), "partido": F.coalesce("party", F.lit("N/A")), "cargo": labels.plain(F.col("office")), "uf": F.coalesce("state", F.lit("N/A"))}[by]
     out = df.groupBy(label.alias("rotulo")).agg(metric(name).alias("valor"))
-    return with_share(out if top is None else out.orderBy(F.desc("valor"), "rotulo").limit(top), "valor")
+    return with_share(out, "valor", few=False) if top is None else with_share(out.orderBy(F.desc("valor"), "rotulo").limit(top), "valor")
 
 
 def state_map(fact: Fact, name: str, scope: Scope) -> DataFrame:
+    fact, name = known_metric(fact, name)
     out = scope.apply(fact).df.filter(F.col("state").isNotNull()).groupBy(F.col("state").alias("uf")).agg(metric(name).alias("valor"))
     return with_share(out, "valor")
 
@@ -163,7 +172,11 @@ def winners(fact: Fact, office: str, unit: list[str], year: int | None, round_:
         df = df.filter(F.col("state") == state_filter(state))
     if "place_key" in unit:
         df = df.filter(F.coalesce("place_key", F.lit("")) != "")
-    df = df.filter(F.col("year") == (F.lit(year) if year is not None else df.agg(F.max("year")).scalar()))
+    if year is not None:
+        df = df.filter(F.col("year") == year)
+    newest = df.agg(F.max("year")).scalar() if year is None else None
+    if newest is not None:
+        df = df.filter(F.col("year") == newest)
     if round_ is not None:
         df = df.filter(F.col("round") == round_)
     order = [F.desc("elected"), F.desc("round"), F.desc("votes"), F.asc("party"), F.asc_nulls_last("candidate"), F.asc("row")]
@@ -178,6 +191,8 @@ def polarization(fact: Fact, view: str, state: str | None = None, year: int | No
         won = winners(fact, "GOVERNADOR", ["state"], year, round_, state)
         return won.select(F.col("state").alias("uf"), F.col("party").alias("partido"), "espectro", F.col("votes").alias("votos"), "status", F.col("elected").alias("eleito"), F.col("year").alias("ano"), F.col("round").alias("turno"))
     won = winners(fact, "PREFEITO", ["state", "place_key"], year, round_, state)
+    if view == "municipal_brasil":  # at most one row per place, used twice below
+        won = materialize(won.select("state", "party", "espectro", "votes", "year"), "winners")
     if view == "municipal_uf":
         return won.select(F.col("state").alias("uf"), F.col("place_key").alias("municipio"), F.col("party").alias("partido"), "espectro", F.col("votes").alias("votos"), "status", F.col("elected").alias("eleito"), F.col("year").alias("ano"), F.col("round").alias("turno"))
     sides = won.groupBy("state", "espectro").agg(F.count(F.lit(1)).alias("n"), F.sum("votes").alias("v"), F.max("year").alias("ano"))

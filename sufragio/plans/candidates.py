@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sufragio.functions import labels
 from sufragio.operators.fact import Fact
-from sufragio.operators.filters import Scope, folded, is_candidate
-from sufragio.operators.relational import latest_round, page, person_id, round_breakdown, usual, with_share
+from sufragio.operators.filters import Scope, folded, is_candidate, search_key
+from sufragio.operators.relational import latest_round, page, person_id, usual, with_share
 from sufragio.session import materialize, measured
 
 LEVELS = ("macroregiao", "uf", "municipio", "zona")
@@ -20,11 +20,11 @@ def search(fact: Fact, query: str, scope: Scope, number: int = 1, size: int = 20
     """Candidates whose folded name contains the query: 3 points if equal, 2 if it begins so,
     1 if it contains it; by votes, points and name. Under 2 letters nothing is searched, under
     8 letters only within a scope."""
-    key = folded(query)
+    key = search_key(query, scope)
     df = scope.apply(fact).df
     df = latest_round(df) if scope.round is None and fact.has("round") else df
-    if len(key) < 2 or (scope.broad and len(key) < 8):
-        df = df.filter(F.lit(False))
+    if key is None:
+        df, key = df.filter(F.lit(False)), folded(query)
     name = F.col("name_key")
     hit = df.filter(F.contains(name, F.lit(key)))
     points = (name == key).cast("int") * 3 + F.startswith(name, F.lit(key)).cast("int") * 2 + 1
@@ -33,15 +33,17 @@ def search(fact: Fact, query: str, scope: Scope, number: int = 1, size: int = 20
     return page(out, [F.desc("votos"), F.desc("pontos"), *[F.asc_nulls_first(a) for a in ("candidato", "candidato_id", "partido", "cargo", "uf", "numero", "situacao")]], number, size)
 
 
-def standing(context: DataFrame, key: str | None) -> tuple[int, int | None]:
-    """All votes of a contest, and the place of the candidate `key` by votes (ties by key): one
+def standing(context: DataFrame, keys: Sequence[str | None]) -> tuple[int, list[int | None]]:
+    """All votes of a contest, and the place of each candidate in keys by votes (ties by key): one
     more than the number of those before it, so no window spans all candidates."""
-    totals = materialize(context.groupBy("candidate").agg(F.sum("votes").alias("votos")), "contest")
-    got = totals.agg(F.sum("votos").alias("all"), F.max(F.when(F.col("candidate") == F.lit(key), F.col("votos"))).alias("own")).first()
-    if got["own"] is None:
-        return got["all"] or 0, None
-    ahead = (F.col("votos") > got["own"]) | ((F.col("votos") == got["own"]) & (F.col("candidate") < key))
-    return got["all"], totals.filter(F.col("candidate").isNotNull() & ahead).count() + 1
+    sums = materialize(context.groupBy("candidate").agg(F.sum("votes").alias("votos")), "contest")
+    got = sums.agg(F.sum("votos").alias("all"), *[F.max(F.when(F.col("candidate") == F.lit(k), F.col("votos"))).alias(f"own{i}") for i, k in enumerate(keys)]).first()
+    ahead = []
+    for i, k in enumerate(keys):
+        own = F.lit(got[f"own{i}"])
+        ahead.append(F.count_if(F.col("candidate").isNotNull() & ((F.col("votos") > own) | ((F.col("votos") == own) & (F.col("candidate") < F.lit(k))))).alias(f"n{i}"))
+    n = sums.agg(*ahead).first()
+    return got["all"] or 0, [None if got[f"own{i}"] is None else n[f"n{i}"] + 1 for i in range(len(keys))]
 
 
 def first(column: str):
@@ -60,25 +62,39 @@ def identity(df: DataFrame) -> DataFrame:
 def summary(fact: Fact, candidate: str, scope: Scope) -> DataFrame:
     """One row about a candidate's last year in scope (no row if unknown): votes by round, votes
     and share of the reference round, position in it, mandates and attributes. The candidate's
-    rows, a small table, are written once; the contest is one more scan."""
-    rows = materialize(Scope(year=scope.year, state=scope.state, office=scope.office).apply(fact).df.filter(is_candidate(candidate)), "candidate")
-    last = rows.filter(F.col("year") == rows.agg(F.max("year")).first()[0])
-    facts = last.agg(*round_breakdown(), F.max("year").alias("ano")).first()
-    ref = scope.round if scope.round in (1, 2) else facts["turno_referencia"]
-    official = last.filter(F.col("round") == F.lit(ref))
-    seen = official.agg(F.sum("votes").alias("votos"), first("state"), first("office"), first("status"), first("candidate")).first()
-    context = fact.df.filter((F.col("year") == F.lit(facts["ano"])) & (F.col("round") == F.lit(ref)) & (F.col("state") == F.lit(seen["state"])) & (F.lower("office") == F.lower(F.lit(seen["office"]))))
-    total, place = standing(context, seen["candidate"])
-    whole = rows.agg(F.count_distinct(F.when(F.col("elected"), F.col("year"))).alias("mandatos"), first("name"), first("number"), first("party"), F.max("year").alias("__y"))
-    out = whole.filter(F.col("__y").isNotNull()).withColumn("one", F.lit(1)).join(identity(rows).withColumn("one", F.lit(1)), "one")
-    given = {k: F.lit(facts[k]).cast("bigint" if k.startswith("votos") else "int").alias(k) for k in ("ano", "votos_primeiro_turno", "votos_segundo_turno", "votos_consolidados")}
-    votes = F.lit(seen["votos"] or 0).cast("bigint")
-    return out.select(
-        F.lit(candidate).alias("candidato_id"), F.col("name").alias("nome"), F.col("number").alias("numero"), F.col("party").alias("partido"), F.lit(seen["office"]).cast("string").alias("cargo"),
-        F.lit(seen["state"]).cast("string").alias("uf"), F.lit(seen["status"]).cast("string").alias("situacao"), "mandatos", given["ano"], F.lit(ref).cast("int").alias("turno_referencia"),
-        given["votos_primeiro_turno"], given["votos_segundo_turno"], given["votos_consolidados"], votes.alias("votos"), labels.percent(votes, F.lit(total), 4).alias("percentual"),
-        F.lit(place).cast("bigint").alias("posicao"), "person_id", "nr_cpf",
+    rows reach the driver as one row per year and round."""
+    rows = Scope(year=scope.year, state=scope.state, office=scope.office).apply(fact).df.filter(is_candidate(candidate))
+    marks = ("state", "office", "status", "candidate", "name", "number", "party")
+    firsts = [F.min(F.when(F.col(c).isNotNull(), F.struct("row", c))).alias(c) for c in marks]
+    cells = rows.groupBy("year", "round").agg(F.sum("votes").alias("votes"), F.max("elected").alias("elected"), *firsts).collect()
+    years = [r["year"] for r in cells if r["year"] is not None]
+    if not years:
+        return fact.df.sparkSession.createDataFrame([], SUMMARY)
+    year = max(years)
+    of = {r["round"]: r for r in cells if r["year"] == year}
+    turn = max((t for t in of if t > 0), default=None)
+    ref = scope.round if scope.round in (1, 2) else turn
+    seen = of.get(ref)
+    earliest = lambda c, among: min((r[c] for r in among if r[c] is not None), default=(None, None))[1]
+    here = {c: earliest(c, [seen] if seen else []) for c in marks}
+    total, place = None, [None]
+    if seen:
+        inside = (F.col("year") == year) & (F.col("round") == ref) & (F.col("state") == F.lit(here["state"])) & (F.lower("office") == F.lower(F.lit(here["office"])))
+        total, place = standing(fact.df.filter(inside), [here["candidate"]])
+    votes = seen["votes"] if seen else 0
+    one = (
+        candidate, *(earliest(c, cells) for c in ("name", "number", "party")), here["office"], here["state"], here["status"], len({r["year"] for r in cells if r["elected"] and r["year"] is not None}),
+        year, ref, of[1]["votes"] if 1 in of else None, of[2]["votes"] if 2 in of else None, sum(r["votes"] for r in of.values()), votes, total, place[0],
     )
+    out = fact.df.sparkSession.createDataFrame([one], ", ".join(f"{c} {t}" for c, t in zip(SUMMARY_COLUMNS[:-2], SUMMARY_TYPES)).replace("percentual double", "total bigint"))
+    out = out.withColumn("percentual", labels.percent(F.col("votos"), F.col("total"), 4))
+    out = out.withColumn("one", F.lit(1)).join(identity(rows).withColumn("one", F.lit(1)), "one")
+    return out.select(*SUMMARY_COLUMNS)
+
+
+SUMMARY_COLUMNS = ("candidato_id", "nome", "numero", "partido", "cargo", "uf", "situacao", "mandatos", "ano", "turno_referencia", "votos_primeiro_turno", "votos_segundo_turno", "votos_consolidados", "votos", "percentual", "posicao", "person_id", "nr_cpf")
+SUMMARY_TYPES = ("string",) * 7 + ("bigint", "int", "int", "bigint", "bigint", "bigint", "bigint", "double", "bigint", "string", "string")
+SUMMARY = ", ".join(f"{c} {t}" for c, t in zip(SUMMARY_COLUMNS, SUMMARY_TYPES))
 
 
 def contexts(df: DataFrame) -> DataFrame:
@@ -99,10 +115,9 @@ def usual_signature(seed: DataFrame) -> str | None:
 
 
 def persons_rows(fact: Fact, candidate: str, cpf: str | None = None, state: str | None = None, office: str | None = None) -> DataFrame:
-    """All rows of the person behind a candidate: those with the usual signature of its rows in
-    scope, written once as the small table they are."""
+    """All rows of the person behind a candidate: those with the usual signature of its rows in scope."""
     sig = usual_signature(Scope(state=state, office=office).apply(fact).df.filter(is_candidate(candidate, cpf)))
-    return materialize(fact.df.filter(has_signature(sig)), "person")
+    return fact.df.filter(has_signature(sig))
 
 
 def has_signature(sig: str | None):
@@ -169,47 +184,68 @@ def vote_distribution(fact: Fact, candidate: str, level: str, scope: Scope, sort
         else:
             label = labels.region(F.col("state")) if level == "macroregiao" else F.coalesce("state", F.lit("N/A"))
             g = rows.groupBy(label.alias("chave")).agg(F.sum("votes").alias("votos"))
-        out = with_share(g, "votos", digits=4)
+        out = with_share(g, "votos", digits=4)  # zones or states of one candidate
         out = out.withColumn("impacto", labels.impact(F.col("percentual"))) if level == "zona" else out
     if sort is None and number is None:
         return out
-    by = F.col(sort if sort in out.columns else "votos")
-    keys = [by.asc() if ascending else by.desc(), *[F.asc_nulls_last(c) for c in ("chave", "municipio", "uf") if c in out.columns]]
+    by = sort_key(out, level, sort)
+    keys = [by.asc_nulls_last() if ascending else by.desc_nulls_last(), *[F.asc_nulls_last(c) for c in ("chave", "municipio", "uf") if c in out.columns]]
     return page(out, keys, number, size) if number is not None else out.orderBy(*keys)
 
 
+#: Columns by which each level may be sorted; anything else means votes.
+SORTABLE = {"macroregiao": ("chave", "votos", "percentual"), "uf": ("chave", "votos", "percentual"), "municipio": ("chave", "votos", "votos_municipio", "percentual", "percentual_municipio", "impacto"), "zona": ("chave", "municipio", "uf", "votos", "percentual", "impacto")}
+
+
+def sort_key(out: DataFrame, level: str, sort: str | None) -> Column:
+    """Zones are sorted as the numbers they are, impact by its height."""
+    if sort not in SORTABLE[level] or sort not in out.columns:
+        return F.col("votos")
+    if level == "zona" and sort == "chave":
+        return F.col("chave").try_cast("bigint")
+    return F.col("percentual") if sort == "impacto" else F.col(sort)
+
+
 def compare(fact: Fact, candidates: Sequence[str], scope: Scope) -> DataFrame:
     """Votes, share, position and retention of two to four candidates in one contest."""
     if not 2 <= len(candidates) <= 4:
         raise ValueError("two to four candidates can be compared")
     inside = Scope(state=scope.state, office=scope.office).apply(fact)
     year = scope.year if scope.year is not None else inside.df.agg(F.max("year")).first()[0]
-    any_of = is_candidate(candidates[0])
-    for c in candidates[1:]:
-        any_of = any_of | is_candidate(c)
-    rows = materialize(inside.df.filter(any_of), "compared")
-    context = materialize(inside.df.filter(F.col("year") == F.lit(year)).select("candidate", "votes"), "contest")
-    out = []
-    for c in candidates:
-        got = rows.filter((F.col("year") == F.lit(year)) & is_candidate(c)).agg(F.sum("votes").alias("v"), first("name"), first("party"), first("candidate")).first()
-        if got["v"] is not None:
-            total, place = standing(context, got["candidate"])
-            sig = usual_signature(rows.filter(is_candidate(c)))
-            out.append((c, got["name"], got["party"], got["v"], total, place, *retention(inside.df.filter(has_signature(sig)), year)))
+    # one pass over the rows of all of them, first by signature, then by candidate
+    which = F.explode(F.filter(F.array(*[F.when(is_candidate(c), F.lit(i)) for i, c in enumerate(candidates)]), lambda i: i.isNotNull()))
+    now = F.col("year") == F.lit(year)
+    firsts = ("name", "party", "candidate")
+    rows = inside.df.select("row", "year", "votes", "signature", *firsts, which.alias("i"))
+    part = rows.groupBy("i", "signature").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.when(now, F.col("votes"))).alias("v"), *[F.min(F.when(now & F.col(c).isNotNull(), F.struct("row", c))).alias(c) for c in firsts]
+    )
+    known = F.when(F.col("signature") != "", F.struct((-F.col("n")).alias("n"), "signature"))
+    got = {r["i"]: r for r in part.groupBy("i").agg(F.sum("v").alias("v"), F.min(known)["signature"].alias("sig"), *[F.min(c)[c].alias(c) for c in firsts]).collect()}
+    there = [i for i in range(len(candidates)) if i in got and got[i]["v"] is not None]
+    total, places = standing(inside.df.filter(now).select("candidate", "votes"), [got[i]["candidate"] for i in there]) if there else (0, [])
+    kept_votes = retentions(inside.df, [got[i]["sig"] for i in there], year)
+    out = [(candidates[i], got[i]["name"], got[i]["party"], got[i]["v"], total, p, *k) for i, p, k in zip(there, places, kept_votes)]
     shape = "candidato_id string, nome string, partido string, votos bigint, total bigint, posicao bigint, agora bigint, antes bigint"
     few = fact.df.sparkSession.createDataFrame(out, shape)  # at most four rows
     kept = F.when(F.coalesce("antes", F.lit(0)) > 0, labels.percent(F.col("agora"), F.col("antes"), 4)).otherwise(100.0)
     return few.select("candidato_id", "nome", "partido", "votos", labels.percent(F.col("votos"), F.col("total"), 4).alias("percentual"), "posicao", kept.alias("retencao"))
 
 
-def retention(rows: DataFrame, year: int | None) -> tuple[int | None, int | None]:
-    """Votes of the year's first contest and of the oldest earlier one, where contests are ordered
-    by year and round (both falling), office, and votes (falling)."""
-    groups = rows.filter(F.col("year").isNotNull()).groupBy("year", F.coalesce("office_key", F.lit("")).alias("office"), "round").agg(F.sum("votes").alias("v"))
-    groups = materialize(groups, "own-contests")
-    now = groups.filter(F.col("year") == F.lit(year)).orderBy(F.desc("round"), "office", F.desc("v")).select("v").first()
-    base = groups.filter(F.col("year") < F.lit(year)).orderBy("year", "round", F.desc("office"), "v").select("v").first()
-    return now[0] if now else None, base[0] if base else None
+def retentions(df: DataFrame, signatures: Sequence[str | None], year: int | None) -> list[tuple[int | None, int | None]]:
+    """For each signature: votes of the year's first contest and of the oldest earlier one, where
+    contests are ordered by year and round (both falling), office, and votes (falling)."""
+    which = F.explode(F.filter(F.array(F.lit(None).cast("int"), *[F.when(has_signature(s), F.lit(i)) for i, s in enumerate(signatures)]), lambda i: i.isNotNull()))
+    rows = df.filter(F.col("year").isNotNull()).select(which.alias("i"), "year", F.coalesce("office_key", F.lit("")).alias("office"), "round", "votes")
+    groups = rows.groupBy("i", "year", "office", "round").agg(F.sum("votes").alias("v"))
+    now, before = F.col("year") == F.lit(year), F.col("year") < F.lit(year)
+    latest = F.min(F.when(now, F.struct((-F.col("round")).alias("r"), "office", (-F.col("v")).alias("v"))))["v"]
+    # the last of the falling order: smallest year and round, then the largest office
+    oldest = F.min(F.when(before, F.struct("year", "round")))
+    got = {r["i"]: -r["v"] if r["v"] is not None else None for r in groups.groupBy("i").agg(latest.alias("v")).collect()}
+    first = groups.filter(before).join(groups.groupBy("i").agg(oldest.alias("o")), "i").filter((F.col("year") == F.col("o.year")) & (F.col("round") == F.col("o.round")))
+    base = {r["i"]: r["m"]["v"] for r in first.groupBy("i").agg(F.max(F.struct("office", (-F.col("v")).alias("n"), "v")).alias("m")).collect()}
+    return [(got.get(i), base.get(i)) for i in range(len(signatures))]
 
 
 def deltas(compared: DataFrame) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import re
 import time
 from collections import OrderedDict
 from collections.abc import Callable
@@ -12,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 
 from sufragio.functions.labels import MUNICIPAL_OFFICES
-from sufragio.operators.filters import Scope, folded
+from sufragio.operators.filters import Scope, folded, search_key
 
 DEFAULT_PAGE, MAX_PAGE, BROAD_PAGE, MAX_DISTRIBUTION = 20, 100, 50, 500
 
@@ -49,16 +48,21 @@ def needs_year(office: str | None, year: int | None) -> None:
 
 def search_text(q: str, scope: Scope) -> str | None:
     """Folded query; None where it is too short to search the whole country."""
-    key = folded(q)
-    if len(key) < 2:
+    if len(folded(q)) < 2:
         raise RequestError(422, "q needs two letters")
-    letters = re.sub(r"[^A-Z]", "", key)
-    return None if scope.broad and len(letters) < 8 else key.lower()
+    key = search_key(q, scope)
+    return key and key.lower()
+
+
+#: Rows of a payload at most; more are the caller's error, not a reason to fill the driver.
+MAX_ROWS = 10_000
 
 
 def payload(df: DataFrame, digits: int | None = None) -> list[dict]:
-    """A result of at most a few hundred rows as dicts, doubles rounded as Python rounds."""
-    rows = [r.asDict(recursive=True) for r in df.collect()]
+    """A result of at most MAX_ROWS rows as dicts, doubles rounded as Python rounds."""
+    rows = [r.asDict(recursive=True) for r in df.take(MAX_ROWS + 1)]
+    if len(rows) > MAX_ROWS:
+        raise RequestError(413, f"more than {MAX_ROWS} rows; ask for a page")
     return [{k: round(v, digits) if digits is not None and isinstance(v, float) else v for k, v in r.items()} for r in rows]
 
 
