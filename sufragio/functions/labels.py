@@ -18,12 +18,15 @@ REGION_OF_STATE = {
     "SE": "Nordeste", "TO": "Norte",
 }
 STATES = tuple(sorted(REGION_OF_STATE))
-# Parties by the side of the spectrum.
-PARTIES_OF_SIDE = {
-    "esquerda": ("PCDOB", "PC DO B", "PDT", "PSB", "PSOL", "PSTU", "PT", "PV", "REDE", "PCB", "UP"),
-    "centro": ("AGIR", "AVANTE", "CIDADANIA", "DC", "MDB", "MOBILIZA", "PODEMOS", "PODE", "PMB", "PMN", "PSD", "SOLIDARIEDADE", "PROS", "DEM"),
-    "direita": ("PHS", "PTC", "NOVO", "PL", "PP", "PRD", "PRTB", "PSDB", "REPUBLICANOS", "PRB", "PTB", "PSC", "PSL", "PATRIOTA", "UNIAO", "UNIAO BRASIL"),
-}
+# The side of the spectrum of each party.
+SIDE_OF_PARTY = {
+    "PCDOB": "esquerda", "PC DO B": "esquerda", "PDT": "esquerda", "PSB": "esquerda", "PSOL": "esquerda", "PSTU": "esquerda", "PT": "esquerda",
+    "PV": "esquerda", "REDE": "esquerda", "PCB": "esquerda", "UP": "esquerda", "AGIR": "centro", "AVANTE": "centro", "CIDADANIA": "centro",
+    "DC": "centro", "MDB": "centro", "MOBILIZA": "centro", "PODEMOS": "centro", "PODE": "centro", "PMB": "centro", "PMN": "centro", "PSD": "centro",
+    "SOLIDARIEDADE": "centro", "PROS": "centro", "DEM": "centro", "PHS": "direita", "PTC": "direita", "NOVO": "direita", "PL": "direita",
+    "PP": "direita", "PRD": "direita", "PRTB": "direita", "PSDB": "direita", "REPUBLICANOS": "direita", "PRB": "direita", "PTB": "direita",
+    "PSC": "direita", "PSL": "direita", "PATRIOTA": "direita", "UNIAO": "direita", "UNIAO BRASIL": "direita",
+}
 # Other spellings of places, as folded keys.
 PLACE_ALIASES = {"SANTA IZABEL DO PARA": "SANTA ISABEL DO PARA", "MUNHOZ DE MELLO": "MUNHOZ DE MELO"}
 # Labels without an answer, as folded keys.
@@ -44,8 +47,8 @@ def region(state: Column) -> Column:
     return lookup(state, REGION_OF_STATE, "N/A")
 
 
-def side(party: Column) -> Column:
-    return lookup(fold_upper(party), {p: s for s, ps in PARTIES_OF_SIDE.items() for p in ps}, "indefinido")
+def side(party: Column, sides: dict[str, str] | None = None) -> Column:
+    return lookup(fold_upper(party), SIDE_OF_PARTY if sides is None else sides, "indefinido")
 
 
 def elected(status: Column) -> Column:

@@ -24,8 +24,9 @@ CANONICAL = (
 )
 VOTES = "QT_VOTOS_NOMINAIS_VALIDOS"
 PROFILE = ("NR_CPF_CANDIDATO", "NM_CANDIDATO", "NM_URNA_CANDIDATO", "DT_NASCIMENTO", "DS_GENERO", "DS_GRAU_INSTRUCAO", "DS_ESTADO_CIVIL", "DS_COR_RACA", "DS_OCUPACAO")
+# The keys of the register join.
 EXACT_KEY, WIDE_KEY = ("ANO_ELEICAO", "SQ_CANDIDATO"), ("ANO_ELEICAO", "NR_CANDIDATO", "SG_UF", "DS_CARGO")
-#: What makes two rows the same record.
+# What makes two rows the same record.
 IDENTITY = ("ANO_ELEICAO", "NR_TURNO", "SG_UF", "NM_UE", "NR_ZONA", "NR_SECAO", "DS_CARGO", "SQ_CANDIDATO")
 
 
@@ -206,12 +207,12 @@ def locate(places: DataFrame, coords: DataFrame) -> DataFrame:
 
 def locate_zones(zones: DataFrame, shapes: DataFrame) -> DataFrame:
     """zones (uf, municipio, zona) with the centre of their shape: by state, place and zone, else
-    state and zone, else zone. shapes: uf, municipio, zona, latitude, longitude."""
+    state and zone, else zone, else the middle of the place's shapes. shapes: uf, municipio, zona, latitude, longitude."""
     digits = lambda x: F.regexp_replace(text.digits(x), "^0+", "")
     s = shapes.select(F.upper(F.trim("uf")).alias("uf"), labels.place_key(F.col("municipio")).alias("key"), digits("zona").alias("z"), "latitude", "longitude")
     mean = [F.avg("latitude").alias("lat"), F.avg("longitude").alias("lng")]
     out = zones.withColumn("key", labels.place_key(F.col("municipio"))).withColumn("z", digits("zona"))
-    keys = (["uf", "key", "z"], ["uf", "z"], ["z"])
+    keys = (["uf", "key", "z"], ["uf", "z"], ["z"], ["uf", "key"])
     for i, on in enumerate(keys):
         out = out.join(s.groupBy(*on).agg(*mean).withColumnsRenamed({"lat": f"lat{i}", "lng": f"lng{i}"}), on, "left")
     return out.select(*zones.columns, F.coalesce(*[f"lat{i}" for i in range(len(keys))]).alias("latitude"), F.coalesce(*[f"lng{i}" for i in range(len(keys))]).alias("longitude"))

@@ -164,7 +164,7 @@ def seats(fact: Fact, by: str, scope: Scope) -> DataFrame:
     return df.filter(F.col("elected") & F.col("candidate").isNotNull()).select(*unit, "candidate").distinct().groupBy("rotulo").agg(F.count(F.lit(1)).alias("vagas"))
 
 
-def winners(fact: Fact, office: str, unit: list[str], year: int | None, round_: int | None, state: str | None) -> DataFrame:
+def winners(fact: Fact, office: str, unit: list[str], year: int | None, round_: int | None, state: str | None, sides: dict[str, str] | None = None) -> DataFrame:
     """The winning row of each unit: elected before others, later round, then votes; ties by
     party, candidate and row."""
     df = fact.df.filter((F.col("office_key") == office) & F.col("state").isNotNull() & F.col("party").isNotNull())
@@ -181,7 +181,7 @@ def winners(fact: Fact, office: str, unit: list[str], year: int | None, round_:
         df = df.filter(F.col("round") == round_)
     order = [F.desc("elected"), F.desc("round"), F.desc("votes"), F.asc("party"), F.asc_nulls_last("candidate"), F.asc("row")]
     kept = df.select("state", "place_key", "party", "votes", "status", "elected", "year", "round", "candidate", "row")
-    return best_row(kept, unit, order).withColumn("espectro", labels.side(F.col("party")))
+    return best_row(kept, unit, order).withColumn("espectro", labels.side(F.col("party"), sides))
 
 
 def polarization(fact: Fact, view: str, state: str | None = None, year: int | None = None, round_: int | None = None) -> DataFrame:
@@ -207,12 +207,22 @@ def official_totals(won: DataFrame, official: DataFrame) -> DataFrame:
     return won.join(official, "uf", "left").withColumn("total_prefeitos", F.greatest("total_prefeitos", F.coalesce("oficial", F.lit(0)))).drop("oficial")
 
 
-def unmapped_parties(fact: Fact, state: str | None = None) -> DataFrame:
-    """Winning mayors and governors of parties without a side, by party."""
-    won = winners(fact, "GOVERNADOR", ["state"], None, None, state).unionByName(winners(fact, "PREFEITO", ["state", "place_key"], None, None, state))
+def unmapped_parties(fact: Fact, state: str | None = None, sides: dict[str, str] | None = None) -> DataFrame:
+    """Winning mayors and governors of parties without a side, by party. sides: party -> side."""
+    won = winners(fact, "GOVERNADOR", ["state"], None, None, state, sides).unionByName(winners(fact, "PREFEITO", ["state", "place_key"], None, None, state, sides))
     return won.filter(F.col("elected") & (F.col("espectro") == "indefinido")).groupBy(F.col("party").alias("partido")).agg(F.count(F.lit(1)).alias("total"))
 
 
+def place_codes(fact: Fact) -> DataFrame:
+    """Rows and votes of each place with its code: the smallest of its rows' codes, none if a row
+    lacks one."""
+    rows = fact.df.filter(F.col("state").isNotNull() & (F.coalesce("place_key", F.lit("")) != ""))
+    unit = [F.col("state").alias("uf"), F.col("place_key").alias("municipio")]
+    codes = rows.groupBy(*unit).agg(F.nullif(F.min(F.coalesce("place_code", F.lit(""))), F.lit("")).alias("codigo"))
+    sums = rows.groupBy(*unit).agg(F.count(F.lit(1)).alias("linhas"), F.sum("votes").alias("votos"))
+    return sums.join(codes, ["uf", "municipio"], "left")
+
+
 def region_clusters(fact: Fact, scope: Scope) -> DataFrame:
     """Vote-weighted centres by state and by region."""
     ok = F.col("latitude").between(-90, 90) & F.col("longitude").between(-180, 180) & ~((F.col("latitude") == 0) & (F.col("longitude") == 0))

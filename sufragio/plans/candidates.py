@@ -198,11 +198,9 @@ SORTABLE = {"macroregiao": ("chave", "votos", "percentual"), "uf": ("chave", "vo
 
 
 def sort_key(out: DataFrame, level: str, sort: str | None) -> Column:
-    """Zones are sorted as the numbers they are, impact by its height."""
+    """Codes are sorted as the texts they are, impact by its height."""
     if sort not in SORTABLE[level] or sort not in out.columns:
         return F.col("votos")
-    if level == "zona" and sort == "chave":
-        return F.col("chave").try_cast("bigint")
     return F.col("percentual") if sort == "impacto" else F.col(sort)
 
 

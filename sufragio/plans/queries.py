@@ -63,7 +63,7 @@ _NUM = "try_cast({0} AS DOUBLE)"
 _PLAIN = "coalesce(nullif(trim(upper(regexp_replace(coalesce({0}, ''), '\\s+', ' ', 'g'))), ''), 'N/A')"
 _GENDER = f"CASE WHEN gkey = 'M' OR gkey LIKE 'MASC%' THEN 'MASCULINO' WHEN gkey = 'F' OR gkey LIKE 'FEM%' THEN 'FEMININO' ELSE {_PLAIN.format('gender')} END"
 _RACE = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(rkey, '{p}')" for p in parts) + f" THEN '{name}'" for name, parts in labels.RACES.items()) + f" ELSE '{labels.RACE_UNKNOWN}' END"
-_SIDES = {p: s for s, ps in labels.PARTIES_OF_SIDE.items() for p in ps}
+_SIDES = labels.SIDE_OF_PARTY
 _OFFICES = "('" + "','".join(labels.MUNICIPAL_OFFICES) + "')"
 _NATION = "('" + "','".join(labels.NATIONAL_OFFICES) + "')"
 _NONE = "('" + "','".join(labels.NO_ANSWER) + "')"
@@ -341,8 +341,7 @@ def _etl(build):
 
 
 def _rolled(df: DataFrame) -> DataFrame:
-    keys = ["ANO_ELEICAO", "NR_TURNO", "SG_UF", "NM_UE", "DS_CARGO", "SQ_CANDIDATO", etl.VOTES]
-    return etl.rollup(df.select(*keys))
+    return etl.rollup(df.select(*etl.CANONICAL))
 
 
 def _repeats(df: DataFrame) -> DataFrame:
@@ -359,7 +358,7 @@ def _registered(df: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
 _REGISTER = ", ".join(f"{_s(c)} AS {c}" for c in dict.fromkeys(["SQ_CANDIDATO", "NR_CANDIDATO", "SG_UF", "DS_CARGO", *etl.PROFILE]))
 _ORDER = "dt_carga DESC NULLS LAST, " + ", ".join(f"{c} NULLS LAST" for c in (*etl.PROFILE, *etl.EXACT_KEY, *etl.WIDE_KEY))
 _filled = ", ".join(f"coalesce({_s('v.' + c)}, a.{c}, b.{c}) AS {c}" for c in etl.PROFILE)
-_add("etl_rollup", _etl(lambda df, *_: _rolled(df)), "SELECT ANO_ELEICAO, NR_TURNO, SG_UF, NM_UE, DS_CARGO, SQ_CANDIDATO, sum(QT_VOTOS_NOMINAIS_VALIDOS)::BIGINT AS QT_VOTOS_NOMINAIS_VALIDOS FROM analytics GROUP BY ALL")
+_add("etl_rollup", _etl(lambda df, *_: _rolled(df)), "SELECT " + ", ".join(c for c in etl.CANONICAL if c != etl.VOTES) + ", sum(QT_VOTOS_NOMINAIS_VALIDOS)::BIGINT AS QT_VOTOS_NOMINAIS_VALIDOS FROM analytics GROUP BY ALL")
 _add("etl_exact_dedup", _etl(lambda df, *_: _repeats(df)), "SELECT ANO_ELEICAO, count(*) AS linhas, sum(QT_VOTOS_NOMINAIS_VALIDOS)::BIGINT AS votos FROM (SELECT DISTINCT * EXCLUDE (row_id, dt_carga) FROM analytics) GROUP BY ANO_ELEICAO")
 _add(
     "etl_register_join", _etl(_registered),
@@ -385,7 +384,13 @@ _add(
 c AS (SELECT codigo, uf, municipio, count(*) AS n FROM r WHERE uf IS NOT NULL AND municipio IS NOT NULL GROUP BY ALL)
 SELECT codigo, uf, municipio FROM (SELECT * FROM c WHERE codigo IS NOT NULL QUALIFY row_number() OVER (PARTITION BY codigo ORDER BY n DESC, municipio, uf) = 1) UNION ALL SELECT codigo, uf, municipio FROM c WHERE codigo IS NULL""",
 )
+def _united(spark: SparkSession, folder: str) -> DataFrame:
+    both = table(spark, folder, "analytics").unionByName(table(spark, folder, "consulta_cand"), allowMissingColumns=True)
+    return both.groupBy("ANO_ELEICAO", "SG_UF").agg(F.count(F.lit(1)).alias("linhas"), *[F.count(c).alias(f"com_{c}") for c in ("row_id", "dt_carga", *etl.CANONICAL) if c not in ("ANO_ELEICAO", "SG_UF")])
+
+
 _add(
-    "union_by_name", lambda spark, folder: table(spark, folder, "analytics").select("ANO_ELEICAO", "SG_UF", "NR_ZONA").unionByName(table(spark, folder, "consulta_cand").select("SG_UF", "ANO_ELEICAO"), allowMissingColumns=True).groupBy("ANO_ELEICAO", "SG_UF").agg(F.count(F.lit(1)).alias("linhas"), F.count("NR_ZONA").alias("com_zona")),
-    "SELECT ANO_ELEICAO, SG_UF, count(*) AS linhas, count(NR_ZONA) AS com_zona FROM (SELECT ANO_ELEICAO, SG_UF, NR_ZONA FROM analytics UNION ALL BY NAME SELECT SG_UF, ANO_ELEICAO FROM consulta_cand) GROUP BY ALL",
+    "union_by_name", _united,
+    "SELECT ANO_ELEICAO, SG_UF, count(*) AS linhas, " + ", ".join(f"count({c}) AS com_{c}" for c in ("row_id", "dt_carga", *etl.CANONICAL) if c not in ("ANO_ELEICAO", "SG_UF"))
+    + " FROM (SELECT * FROM analytics UNION ALL BY NAME SELECT * FROM consulta_cand) GROUP BY ALL",
 )

@@ -1,14 +1,15 @@
 """Readers and writers. Every reader gives a lazy DataFrame; nothing is pulled to the driver but
-headers and file names."""
+headers and file names. Files are listed, opened and removed through Hadoop's FileSystem, so paths
+may lie on any storage that Spark reads."""
 
 from __future__ import annotations
 
+import csv
 import fnmatch
-import hashlib
 import json
 from collections import defaultdict
 from collections.abc import Iterable, Sequence
-from pathlib import Path
+from pathlib import PurePosixPath as Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,15 +20,32 @@ LATIN = "ISO-8859-1"
 NUMBER = "(-?[0-9]+(?:\\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)"
 
 
-def open_fact(spark: SparkSession, path: str, view: str | None = None, keep: bool = False, **csv: str) -> DataFrame:
+def _storage(path: str):
+    """The file system of a path, and the path as it wants it."""
+    spark = SparkSession.active()
+    p = spark._jvm.org.apache.hadoop.fs.Path(str(path))
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _files(root: str) -> list[str]:
+    """All files under root; those of the local system without their scheme."""
+    fs, p = _storage(root)
+    found, out = fs.listFiles(p, True), []
+    while found.hasNext():
+        out.append(found.next().getPath().toString().removeprefix("file:"))
+    return sorted(out)
+
+
+def open_fact(spark: SparkSession, path: str, view: str | None = None, keep: bool = False, **csv_options: str) -> DataFrame:
     """A Parquet or CSV fact table by its suffix, as a lazy view, or kept in memory and disk."""
-    if "://" not in path and not Path(path).exists():
+    fs, p = _storage(path)
+    if not fs.exists(p):
         raise FileNotFoundError(path)
-    suffix = Path(path.rstrip("/")).suffix.lower()
-    if suffix == ".parquet" or (not suffix and "://" not in path and any(Path(path).rglob("*.parquet"))):
+    suffix = Path(str(path).rstrip("/")).suffix.lower()
+    if suffix == ".parquet" or (not suffix and any(f.endswith(".parquet") for f in _files(path))):
         df = spark.read.parquet(path)
     elif suffix in (".csv", ".txt"):
-        df = read_csv(spark, [path], **csv)
+        df = read_csv(spark, [path], **csv_options)
     else:
         raise ValueError(f"not a Parquet or CSV source: {path}")
     df = df.cache() if keep else df
@@ -40,18 +58,34 @@ def columns_of(df: DataFrame) -> set[str]:
     return {c.upper() for c in df.columns}
 
 
+def first_line(path: str, encoding: str) -> str:
+    """The first line of a file, or of the first file with content in a folder; no Spark job."""
+    fs, p = _storage(path)
+    jvm = SparkSession.active()._jvm
+    for name in [f for f in _files(path) if not Path(f).name.startswith(("_", "."))] if fs.getFileStatus(p).isDirectory() else [str(path)]:
+        at = jvm.org.apache.hadoop.fs.Path(name)
+        stream = fs.open(at)
+        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(fs.getConf()).getCodec(at)
+        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(codec.createInputStream(stream) if codec else stream, encoding))
+        line = reader.readLine()
+        reader.close()
+        if line is not None:
+            return line
+    return ""
+
+
 def read_csv(spark: SparkSession, paths: Sequence[str], sep: str = ";", encoding: str = LATIN, malformed: str = "DROPMALFORMED") -> DataFrame:
     """All columns as text under cleaned names (outer blanks removed, capitals). Files are grouped
     by header, each group read in one scan, and the groups united by name."""
     groups: dict[tuple[str, ...], list[str]] = defaultdict(list)
     options = {"header": True, "sep": sep, "encoding": encoding, "mode": malformed, "quote": '"', "escape": '"'}
     for p in paths:
-        groups[tuple(spark.read.options(**options).csv(p).columns)].append(p)
+        groups[tuple(next(csv.reader([first_line(p, encoding)], delimiter=sep), []))].append(p)
     out = None
     for names, own in groups.items():
-        schema = ", ".join(f"`{n.replace('`', '')}` string" for n in names)
+        schema = ", ".join(f"`{n.replace('`', '') or f'_c{i}'}` string" for i, n in enumerate(names))
         part = spark.read.options(**options).schema(schema).csv(own)
-        part = part.toDF(*[n.strip().strip("﻿").upper() for n in part.columns]).withColumn("__file", F.col("_metadata.file_path"))
+        part = part.toDF(*[n.strip().strip("\ufeff").upper() for n in part.columns]).withColumn("__file", F.col("_metadata.file_path"))
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     if out is None:
         raise FileNotFoundError("no files")
@@ -61,7 +95,7 @@ def read_csv(spark: SparkSession, paths: Sequence[str], sep: str = ";", encoding
 def discover(root: str, patterns: Sequence[str], exclude: Sequence[str] = ()) -> list[str]:
     """Files under root whose names match, in order, without those whose name or path matches an
     exclusion; each once."""
-    found = {str(p) for pattern in patterns for p in Path(root).rglob(pattern) if p.is_file()}
+    found = {f for f in _files(root) if any(fnmatch.fnmatch(Path(f).name, p) for p in patterns)}
     drop = lambda p: any(fnmatch.fnmatch(Path(p).name.lower(), x.lower()) or fnmatch.fnmatch(p.lower(), x.lower()) for x in exclude)
     return sorted(p for p in found if not drop(p))
 
@@ -87,12 +121,35 @@ def convert(spark: SparkSession, source: str, target: str, **csv: str) -> None:
     write(read_csv(spark, [source], **csv).drop("__file"), target)
 
 
-def publish(df: DataFrame, root: str, release: str, keep: int = 3) -> list[str]:
-    """Write a snapshot under release=..., and name the older releases beyond the newest `keep`;
-    removing them is the caller's step."""
+def publish(df: DataFrame, root: str, release: str, keep: int = 3, remove: bool = False) -> list[str]:
+    """Write a snapshot under release=..., and name the older releases beyond the newest `keep`,
+    which are removed if so asked."""
     df.write.mode("errorifexists").option("compression", "zstd").parquet(f"{root}/release={release}")
-    releases = sorted(p.name for p in Path(root).glob("release=*"))
-    return releases[:-keep] if len(releases) > keep else []
+    fs, p = _storage(root)
+    releases = sorted(s.getPath().getName() for s in fs.listStatus(p) if s.getPath().getName().startswith("release="))
+    old = releases[:-keep] if len(releases) > keep else []
+    for name in old if remove else []:
+        fs.delete(_storage(f"{root}/{name}")[1], True)
+    return old
+
+
+# Headers of coordinate tables, the first present one counts.
+COORDINATES = {
+    "codigo": ("CD_MUNICIPIO", "COD_MUNICIPIO", "MUNICIPIO_ID", "MUNICIPIO_CODE", "IBGE", "ID"), "uf": ("SG_UF", "UF", "STATE"),
+    "municipio": ("NM_MUNICIPIO", "NM_UE", "MUNICIPIO", "MUNICIPALITY", "CITY", "NAME"), "latitude": ("LATITUDE", "LAT", "VL_LATITUDE"), "longitude": ("LONGITUDE", "LON", "LNG", "VL_LONGITUDE"),
+}
+
+
+def read_coordinates(spark: SparkSession, path: str, **csv_options: str) -> DataFrame:
+    """codigo, uf, municipio, latitude, longitude of a coordinates table (Parquet or CSV) whose
+    columns stand under any of their names; rows without valid coordinates are left out, and a
+    table without coordinate columns has no rows."""
+    df = open_fact(spark, path, **csv_options)
+    there = {c.strip().upper(): c for c in df.columns}
+    at = {k: next((F.col(f"`{there[n]}`") for n in names if n in there), F.lit(None)).cast("string") for k, names in COORDINATES.items()}
+    number = lambda k: F.replace(F.trim(at[k]), F.lit(","), F.lit(".")).try_cast("double")
+    out = df.select(F.regexp_replace(F.trim(at["codigo"]), "\\.0+\\z", "").alias("codigo"), F.upper(F.trim(at["uf"])).alias("uf"), F.trim(at["municipio"]).alias("municipio"), number("latitude").alias("latitude"), number("longitude").alias("longitude"))
+    return out.filter(F.col("latitude").between(-90, 90) & F.col("longitude").between(-180, 180) & ~((F.col("latitude") == 0) & (F.col("longitude") == 0)))
 
 
 def official_seats(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
@@ -121,19 +178,21 @@ def read_geojson(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
 
 
 def sha256(path: str) -> str:
-    out = hashlib.sha256()
-    with open(path, "rb") as f:
-        while block := f.read(1 << 20):
-            out.update(block)
-    return out.hexdigest()
+    fs, p = _storage(path)
+    stream = fs.open(p)
+    out = SparkSession.active()._jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
+    stream.close()
+    return out
 
 
 def manifest(paths: Sequence[str], **about: object) -> dict:
     """Sizes and SHA-256 of artefacts."""
-    return {**about, "files": [{"path": p, "bytes": Path(p).stat().st_size, "sha256": sha256(p)} for p in sorted(paths)]}
+    size = lambda path: (lambda fs, p: fs.getFileStatus(p).getLen())(*_storage(path))
+    return {**about, "files": [{"path": str(p), "bytes": size(p), "sha256": sha256(p)} for p in sorted(paths)]}
 
 
 def write_json(value: object, path: str) -> None:
-    Path(path).write_text(json.dumps(value, ensure_ascii=False, indent=1, sort_keys=True, default=str))
-
-
+    fs, p = _storage(path)
+    out = fs.create(p, True)
+    out.write(bytearray(json.dumps(value, ensure_ascii=False, indent=1, sort_keys=True, default=str).encode()))
+    out.close()

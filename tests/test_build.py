@@ -120,3 +120,27 @@ def test_service_rules_and_cache():
     cache.put("b", 1, 10), cache.put("c", 1, 10)
     assert cache.get(key, stale=True) is None and len(cache.held) == 2
     assert service.etag([1]) == service.etag([1]) and service.failure("c", "m", "t")["retryable"] is False
+
+
+def test_filters_reach_the_files_and_large_votes_stay_exact(spark, tmp_path):
+    """A year filter prunes partitions or is pushed, normalised keys are pushed, 2^60 is summed exactly."""
+    from sufragio.operators.fact import bind
+    from sufragio.operators.filters import Scope
+    from sufragio.plans import aggregates
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    rows = spark.createDataFrame([(2022, 1, " sp ", "Prefeito ", "1", 2**60, "X"), (2022, 1, "SP", "Prefeito", "2", 1, "X"), (2018, 1, "SP", "Prefeito", "1", 5, "X")], "ANO_ELEICAO int, NR_TURNO int, SG_UF string, DS_CARGO string, SQ_CANDIDATO string, QT_VOTOS_NOMINAIS_VALIDOS bigint, NM_UE string")
+    keyed = etl.with_keys(rows)
+    files.write(keyed, str(tmp_path / "flat.parquet"))
+    files.write(keyed, str(tmp_path / "cut.parquet"), ["ANO_ELEICAO"])
+    scope = Scope(2022, 1, "SP", "prefeito", place="x")
+    flat = aggregates.overview(bind(files.open_fact(spark, str(tmp_path / "flat.parquet"))), scope)
+    shown = plan(flat)
+    for pushed in ("EqualTo(ANO_ELEICAO,2022)", "EqualTo(NR_TURNO,1)", "EqualTo(uf_chave,SP)", "EqualTo(cargo_chave,PREFEITO)", "EqualTo(municipio_chave,X)"):
+        assert pushed in shown
+    cut = aggregates.overview(bind(files.open_fact(spark, str(tmp_path / "cut.parquet"))), scope)
+    assert "PartitionFilters: [isnotnull(ANO_ELEICAO" in plan(cut)
+    for df in (flat, cut):
+        assert df.first()["votos_nominais"] == 2**60 + 1
+    as_text = bind(rows.withColumn("QT_VOTOS_NOMINAIS_VALIDOS", F.col("QT_VOTOS_NOMINAIS_VALIDOS").cast("string")))
+    assert aggregates.overview(as_text, Scope(2022, 1)).first()["votos_nominais"] == 2**60 + 1
