@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_WRITTEN: list[str] = []
+
+
 def local_session(cores: str = "8", memory: str = "8g", partitions: int = 8) -> SparkSession:
     """A local session for tests and the bench; a cluster brings its own."""
     return (
@@ -46,9 +49,19 @@ def materialize(df: DataFrame, name: str = "table", sort: list[str] | None = Non
     if sort:
         df = df.sortWithinPartitions(*sort)
     df.write.option("compression", "zstd").parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clean(spark: SparkSession) -> None:
+    """Remove the tables that materialize() wrote for this session; to be called when every result
+    that may read them has been written."""
+    for path in _WRITTEN:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    _WRITTEN.clear()
+
+
 def measured(df: DataFrame, max_mb: float = 48.0) -> tuple[DataFrame, bool]:
     """For a table that was materialised: with a broadcast hint if its measured size (rows and
     string lengths, times four for the row overhead) is within max_mb, else as it is."""

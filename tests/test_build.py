@@ -145,3 +145,14 @@ def test_filters_reach_the_files_and_large_votes_stay_exact(spark, tmp_path):
         assert df.first()["votos_nominais"] == 2**60 + 1
     as_text = bind(rows.withColumn("QT_VOTOS_NOMINAIS_VALIDOS", F.col("QT_VOTOS_NOMINAIS_VALIDOS").cast("string")))
     assert aggregates.overview(as_text, Scope(2022, 1)).first()["votos_nominais"] == 2**60 + 1
+
+
+def test_materialised_tables_can_be_removed(spark):
+    from sufragio import session
+
+    df = session.materialize(spark.range(5), "few")
+    assert df.count() == 5 and session._WRITTEN
+    path = session._WRITTEN[-1]
+    session.clean(spark)
+    fs, p = files._storage(path)
+    assert not fs.exists(p) and not session._WRITTEN
