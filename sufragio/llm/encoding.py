@@ -40,7 +40,7 @@ WORD_BREAK = "[ \\t\\r\\n]+"
 MIX, APPLIED, SALTS = 0.7, 0.9, 16
 PRIOR, STRENGTH = 0.002, 50.0
 #: The rates have converged when no expected share of a chain moves by more.
-STILL = 1e-5
+STILL = 1e-4
 
 
 def _tables() -> dict[str, dict[str, list[int]]]:
@@ -259,19 +259,22 @@ def damaged_values(values: DataFrame) -> DataFrame:
 
     rows = values.groupBy("source", "field").agg(F.sum("n").alias("all"))
     start = F.map_from_arrays(F.array(*[F.lit(c) for c in CHAINS]), F.array(*[F.lit(PRIOR)] * len(CHAINS)))
-    rates = materialize(rows.withColumn("rate", start), "rates")
-    every = rows.withColumn("chain", F.explode(F.array(*[F.lit(c) for c in CHAINS])))
+    rates, small = measured(materialize(rows.withColumn("rate", start), "rates"))
+    # values of the same evidence count together: the rounds see each kind of evidence once
+    kinds = materialize(scored.groupBy("source", "field", "h").agg(F.sum("n").alias("n")), "kinds-of-evidence")
+    every = materialize(rows.withColumn("chain", F.explode(F.array(*[F.lit(c) for c in CHAINS]))), "chains")
     while True:  # the likelihood rises with every round and is bounded
-        expected = _posterior(scored, rates).select("source", "field", "n", F.explode("post").alias("p")).groupBy("source", "field", "p.chain").agg(F.sum(F.col("n") * F.col("p.p")).alias("e"))
+        expected = _posterior(kinds, rates).select("source", "field", "n", F.explode("post").alias("p")).groupBy("source", "field", "p.chain").agg(F.sum(F.col("n") * F.col("p.p")).alias("e"))
         share = (F.coalesce("e", F.lit(0.0)) + STRENGTH * PRIOR) / (F.col("all") + STRENGTH)
         new = every.join(expected, ["source", "field", "chain"], "left").withColumn("share", share)
         new = new.groupBy("source", "field", "all").agg(F.map_from_entries(F.collect_list(F.struct("chain", "share"))).alias("rate"))
         new = new.join(rates.select("source", "field", F.col("rate").alias("old")), ["source", "field"])
         moved = F.array_max(F.transform(F.array(*[F.lit(c) for c in CHAINS]), lambda c: F.abs(F.element_at("rate", c) - F.element_at("old", c))))
-        rates = materialize(new.withColumn("moved", moved).drop("old"), "rates")
-        if (rates.agg(F.max("moved")).first()[0] or 0.0) <= STILL:
+        now = materialize(new.withColumn("moved", moved).drop("old"), "rates")
+        still = (now.agg(F.max("moved")).first()[0] or 0.0) <= STILL
+        rates = F.broadcast(now.drop("moved")) if small else now.drop("moved")
+        if still:
             break
-        rates = rates.drop("moved")
     top = F.array_max(F.transform("post", lambda p: F.struct(p["p"].alias("p"), p["chain"].alias("chain"))))
     whole = F.aggregate("post", F.lit(0.0), lambda a, p: a + p["p"])
     judged = _posterior(scored, rates).withColumn("confidence", whole).filter("confidence > 0.5").select("source", "field", "value", "confidence", top["chain"].alias("chain"))
@@ -281,8 +284,7 @@ def damaged_values(values: DataFrame) -> DataFrame:
 
 def _posterior(scored: DataFrame, rates: DataFrame) -> DataFrame:
     """post: chain and posterior of each hypothesis beside the clean one, which has gain 0."""
-    small, _ = measured(rates)
-    x = scored.join(small, ["source", "field"])
+    x = scored.join(rates, ["source", "field"])
     odds = F.transform("h", lambda h: F.struct(h["chain"].alias("chain"), (F.element_at("rate", h["chain"]) * F.exp(F.least(h["gain"], F.lit(600.0)))).alias("o")))
     x = x.withColumn("o", odds).withColumn("z", 1 + F.aggregate("o", F.lit(0.0), lambda a, o: a + o["o"]))
     return x.withColumn("post", F.transform("o", lambda o: F.struct(o["chain"].alias("chain"), (o["o"] / F.col("z")).alias("p"))))
