@@ -9,7 +9,8 @@ squares: the expected tokens per source, the sum of rate x tokens x membership,
 targets. The gradient lies in the space of one multiplier per source, so it is gathered there,
 scaled by the curvature of the documents not at a bound, and projected anew for each document,
 rate = clip(membership . multipliers, 0, cap): every step is one job whose only result is a handful
-of sums, and no rate is ever stored. Rates become whole repetitions by systematic rounding: within
+of sums, and no rate is ever stored. As shares are reported by the named source, the targets are
+then corrected by what the named totals still lack, and fitted again. Rates become whole repetitions by systematic rounding: within
 a source the fractions are summed up over the documents ordered by size, and each unit that is
 reached takes one document, so that a source misses its tokens by no more than its largest size.
 That rest is repaired by a few single documents, at most one taken and one given of each size class.
@@ -41,8 +42,10 @@ from sufragio.llm.tokens import counted, counter, tokenizer_path
 from sufragio.llm.unigram import Unigram, sampled, softmax, words_of
 from sufragio.session import materialize, measured
 
-MAX_LABELLED, MAX_HELD_OUT, TRUST = 50_000, 5_000, 0.99
+MAX_LABELLED, MAX_HELD_OUT, TRUST = 50_000, 5_000, 0.999
 TOLERANCE, STEPS, SLICES = 1e-4, 100, 64
+#: Times that the targets are corrected for what memberships and named sources differ by, at most, and the difference left alone.
+CORRECTIONS, CLOSE = 4, 0.005
 TEMPERATURES = tuple(2.0**k for k in range(9))
 
 
@@ -127,10 +130,10 @@ def shared_out(have: list[float], weights: list[float], budget: float | None) ->
     return out
 
 
-def multipliers(base: DataFrame, cap: Column, targets: list[float]) -> tuple[list[float], int, float]:
+def multipliers(base: DataFrame, cap: Column, targets: list[float], start: list[float] | None = None) -> tuple[list[float], int, float]:
     """Multipliers of the fitted rates, the steps taken, and the largest miss as a share of the whole."""
     k, total = len(targets), sum(targets)
-    lam, best = np.zeros(k), (math.inf, np.zeros(k), 0)
+    lam, best = np.array(start or [0.0] * k), (math.inf, np.zeros(k), 0)
     most = 10.0 * max(1.0, base.agg(F.max(cap)).first()[0] or 1.0)
     damp = 1.0
     for step in range(1, STEPS + 1):
@@ -146,7 +149,7 @@ def multipliers(base: DataFrame, cap: Column, targets: list[float]) -> tuple[lis
             best = (worst, lam, step)
         else:
             damp = max(0.1, damp / 2)
-        if worst <= TOLERANCE or step - best[2] >= 8:
+        if worst <= TOLERANCE or step - best[2] >= 3:
             break
         h = np.array([[got[f"h{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)])
         lam = np.clip(lam + damp * np.linalg.solve(h + np.eye(k) * max(1e-9, 1e-6 * np.trace(h)), miss), -most, most)
@@ -232,6 +235,16 @@ def mix(documents: DataFrame, targets: DataFrame, key: str, text: str, source: s
         budget = float(base.agg(F.sum("tokens")).first()[0] or 0) or None
     goal = shared_out(have, weights, budget)
     lam, steps, miss = multipliers(base, cap, goal) if sum(goal) > 0 else ([0.0] * len(names), 0, 0.0)
+    asked = goal
+    for _ in range(CORRECTIONS if sum(goal) > 0 else 0):
+        rate = F.least(cap, F.greatest(F.lit(0.0), _rate(lam)))
+        now = {r["fonte"]: r["t"] for r in base.groupBy("fonte").agg(F.sum(F.col("tokens") * rate).alias("t")).collect()}
+        off = [g - float(now.get(s) or 0.0) for s, g in zip(names, goal)]
+        if max(map(abs, off)) <= CLOSE * sum(goal):
+            break
+        asked = [max(0.0, a + x) for a, x in zip(asked, off)]
+        lam, more, miss = multipliers(base, cap, asked, lam)
+        steps += more
     rated = base.withColumn("cap", cap.cast("int")).withColumn("rate", F.least(cap, F.greatest(F.lit(0.0), _rate(lam)))).drop("p")
     whole = materialize(rounded(rated, key).drop("rate"), "rounded")
     chosen = repaired(whole, key, dict(zip(names, goal))).filter("repeticoes > 0")
